@@ -7,20 +7,40 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as op8
 from . import langid as op9
+from . import lm as op1
 from . import mixing as op3
 from . import rules as op7
+from . import tokens as op6
+
+#: Of the tokenizer byte_bpe_50k.json.
+VOCABULARY = 50257
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return op1.score_documents(_read(spark, sf_dir, "documents"), remainder != 2)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = op3.mix_sources(_read(spark, sf_dir, "documents"))
     out = mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position")
     return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.tokenize(_read(spark, sf_dir, "documents"), tokenizer_path(), VOCABULARY)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.quality_rules(_read(spark, sf_dir, "documents"), with_text=False)
 
@@ -40,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix, op7_quality_rules, op8_decontaminate, op9_language_id)}
+    return {f.__name__: f for f in (op1_lm_score, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

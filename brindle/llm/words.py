@@ -109,13 +109,17 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed.sort()
     order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     hs = h[order]
+    packed >>= bits
+    step = packed[1:] != packed[:-1]
+    mixed = np.flatnonzero(~step & (hs[1:] != hs[:-1]))
+    if len(mixed):  # distinct values that agree but for the bits replaced: few
+        edges = np.concatenate(([0], np.flatnonzero(step) + 1, [n]))
+        for r in np.unique(np.searchsorted(edges, mixed + 1, side="right") - 1):
+            own = order[edges[r] : edges[r + 1]]
+            own[:] = own[np.argsort(h[own], kind="stable")]
+            hs[edges[r] : edges[r + 1]] = h[own]
     new = np.ones(n, dtype=bool)
     new[1:] = hs[1:] != hs[:-1]
-    packed >>= bits
-    if n and np.any((packed[1:] == packed[:-1]) & new[1:]):
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        new[1:] = hs[1:] != hs[:-1]
     return order, np.flatnonzero(new)
 
 
