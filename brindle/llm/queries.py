@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as op8
+from . import jaccard as op10
 from . import langid as op9
 from . import lm as op1
 from . import mixing as op3
@@ -59,8 +60,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id)}
+    return {f.__name__: f for f in (op1_lm_score, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
