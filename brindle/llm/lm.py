@@ -1,7 +1,8 @@
 """Language-model scoring by a weighted backoff automaton, with the model kept distributed.
 
 Counts of all n-grams up to `order` are smoothed towards the next lower order with a
-Dirichlet prior; the lowest order is smoothed by one.  As an automaton: states are the
+Dirichlet prior, whose strength grows with a context's count as the number of distinct
+words after it does (a * count ** b); the lowest order is smoothed by one.  As an automaton: states are the
 seen contexts, a state's arcs its seen continuations, and its failure arc leads to the
 context without its first word, at a weight that makes each state's probabilities sum to 1.
 A text is scored in one pass from left to right that carries the state.
@@ -106,16 +107,17 @@ class BackoffAutomaton:
     arc that reads the word there from a state of k words and of that state's failure arc.
     """
 
-    def __init__(self, counts: list[np.ndarray], tokens: int, types: int, prior: float):
+    def __init__(self, counts: list[np.ndarray], tokens: int, types: int, prior: tuple[float, float]):
         self.order = len(counts)
         p = (counts[0] + 1.0) / (tokens + types + 1.0)
         self.counts, self.arc, self.fail = counts, [np.log10(p)], []
         for k in range(1, self.order):
             context = np.zeros(len(p))
             context[1:] = counts[k - 1][:-1]
-            p = (counts[k] + prior * p) / (context + prior)
+            strength = prior[0] * np.maximum(context, 1.0) ** prior[1]
+            p = (counts[k] + strength * p) / (context + strength)
             self.arc.append(np.log10(p))
-            self.fail.append(np.log10(prior / (context + prior)))
+            self.fail.append(np.log10(strength / (context + strength)))
 
     def score(self, at: np.ndarray) -> np.ndarray:
         """The log10 probability of each text of the stream that begins at `at`: all texts abreast, one word a step."""
@@ -232,7 +234,7 @@ def _answer(batches):
         yield from flush(held)
 
 
-def _scored(order: int, prior: float):
+def _scored(order: int, prior: tuple[float, float]):
     def flush(text: tuple, answers: list[tuple]):
         table = pa.ipc.open_stream(text[3]).read_all().combine_chunks()
         tokens, at = stream(table.column("text"))
@@ -271,7 +273,7 @@ def _scored(order: int, prior: float):
     return run
 
 
-def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", order: int = 3, prior: float = 2.0, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", order: int = 3, prior: tuple[float, float] = (3.0, 0.8), buckets: int | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     learn is the condition (a Column) of rows whose n-grams are counted; all rows are scored.

@@ -10,6 +10,7 @@ from . import jaccard as op10
 from . import langid as op9
 from . import lm as op1
 from . import mixing as op3
+from . import pii as op2
 from . import rules as op7
 from . import tokens as op6
 
@@ -26,6 +27,15 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.score_documents(_read(spark, sf_dir, "documents"), remainder != 2)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2.find_pii(_read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
+    every = F.array_sort(F.concat("base", plain("more")))
+    digest = F.sha2(op2.joined(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(op2.KINDS)], digest.alias("base_sha256"), op2.joined(every).alias("spans"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = op3.mix_sources(_read(spark, sf_dir, "documents"))
     out = mixed.select("doc_id", "size", "source_size", "target", "taken", "first_position")
@@ -65,7 +75,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pii, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
