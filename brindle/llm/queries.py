@@ -11,6 +11,7 @@ from . import langid as op9
 from . import lm as op1
 from . import mixing as op3
 from . import pii as op2
+from . import quality as op4
 from . import rules as op7
 from . import tokens as op6
 
@@ -42,6 +43,12 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = op4.fit(docs, _read(spark, sf_dir, "labels"), (F.col("quality") == 1) & (F.col("toxic") == 0))
+    return op4.quality(docs, model)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -75,7 +82,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_pii, op3_mix, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pii, op3_mix, op4_quality, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
