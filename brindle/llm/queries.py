@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as op8
 from . import jaccard as op10
 from . import langid as op9
+from . import linededup as op5
 from . import lm as op1
 from . import mixing as op3
 from . import pii as op2
@@ -49,6 +50,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.quality(docs, model)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.line_drops(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -82,7 +87,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_score, op2_pii, op3_mix, op4_quality, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_score, op2_pii, op3_mix, op4_quality, op5_line_dedup, op6_token_ids, op7_quality_rules, op8_decontaminate, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
