@@ -10,18 +10,19 @@ A text is scored in one pass from left to right that carries the state.
 No task or driver holds the model.  Documents are cut into chunks; a chunk sends each of
 its distinct n-grams once to the bucket that owns it, with its count there; a bucket adds
 the counts up and answers each chunk with one number for each n-gram asked, in the order
-asked.  From the answers a chunk builds the part of the automaton that its texts can
-reach, and scores them.  All that grows with the corpus moves through two shuffles.
+asked.  The answers meet the chunk's compressed texts, which build the part of the automaton
+that they can reach and are scored.  All that grows with the corpus moves through two
+shuffles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stable
 from .words import SPACED, blocks, grouped, hashed_words, mix
 
 #: Words of a chunk, about.
@@ -88,15 +89,14 @@ def ngrams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all orders, then as `grouped` sorts the positions laid end to end: order, begins, number of each position's key."""
-    flat = np.concatenate(keys)
-    order, begin = grouped(flat << np.uint64(64 - BITS))
-    number = np.zeros(len(flat), np.int64)
-    number[begin[1:]] = 1
-    inverse = np.empty(len(flat), np.int64)
-    inverse[order] = np.cumsum(number)
-    return flat[order[begin]], order, begin, inverse
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and as `grouped` sorts the positions: order and begins."""
+    order, begin = grouped(keys << np.uint64(64 - BITS))
+    return keys[order[begin]], order, begin
+
+
+def edges_of(buckets: int) -> np.ndarray:
+    return np.array([-(-(b << BITS) // buckets) for b in range(buckets + 1)], dtype=np.uint64)
 
 
 class BackoffAutomaton:
@@ -152,11 +152,10 @@ class BackoffAutomaton:
         return out
 
 
-def _encoded(batches: list[pa.RecordBatch]) -> bytes:
+def _encoded(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        for b in batches:
-            w.write_batch(b)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
+        w.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -165,34 +164,40 @@ def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ROW.split(", ")])
 
 
-def _ask(buckets: int, order: int):
-    """Chunks of documents as rows: one with the texts, and one for each bucket with the n-grams it owns."""
-    edges = np.array([-(-(b << BITS) // buckets) for b in range(buckets + 1)], dtype=np.uint64)
+def _chunks(batches):
+    """(chunk, table) of about CHUNK words each, whole documents; alike for every reader of the same rows."""
+    held, size, number = [], 0, 0
+    for batch in blocks(batches, "text", 4 << 20):
+        held.append(batch)
+        size += batch.column(1).nbytes // 6
+        if size >= CHUNK:
+            yield held[0].column(3)[0].as_py() << 24 | number, pa.Table.from_batches(held).combine_chunks()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield held[0].column(3)[0].as_py() << 24 | number, pa.Table.from_batches(held).combine_chunks()
 
-    def flush(held: list[pa.RecordBatch], number: int):
-        table = pa.Table.from_batches(held).combine_chunks()
-        tokens, at = stream(table.column("text"))
-        keys = ngrams(tokens, at, order)
-        learn = np.repeat(table.column("learn").to_numpy(zero_copy_only=False), np.diff(at))
-        known, sorted_, begin, _ = distinct(keys)
-        many = np.add.reduceat(np.tile(learn, order)[sorted_].astype(np.int64), begin)
-        cut = np.searchsorted(known, edges)
-        chunk = TaskContext.get().partitionId() << 24 | number
-        yield _row_batch([(chunk % buckets, chunk, -1, _encoded(table.to_batches()), b"", 0, 0)])
-        for b in range(buckets):
-            own = slice(cut[b], cut[b + 1])
-            yield _row_batch([(b, chunk, b, planes(known[own]), narrow(many[own]), 0, 0)])
+
+def _texts(batches):
+    """Chunks as rows of their own, compressed."""
+    for chunk, table in _chunks(batches):
+        yield _row_batch([(0, chunk, -1, _encoded(table), b"", 0, 0)])
+
+
+def _ask(buckets: int, order: int):
+    """For each chunk and bucket the distinct n-grams that the bucket owns, order by order, with their counts in what is learned."""
+    edges = edges_of(buckets)
 
     def run(batches):
-        held, size, number = [], 0, 0
-        for batch in blocks(batches, "text"):
-            held.append(batch)
-            size += batch.column(1).nbytes // 6
-            if size >= CHUNK:
-                yield from flush(held, number)
-                held, size, number = [], 0, number + 1
-        if held:
-            yield from flush(held, number)
+        for chunk, table in _chunks(batches):
+            tokens, at = stream(table.column("text"))
+            learn = np.repeat(table.column("learn").to_numpy(zero_copy_only=False), np.diff(at)).astype(np.int64)
+            asked = []
+            for keys in ngrams(tokens, at, order):
+                known, sorted_, begin = distinct(keys)
+                asked.append((known, np.add.reduceat(learn[sorted_], begin), np.searchsorted(known, edges)))
+            for b in range(buckets):
+                own = [slice(cut[b], cut[b + 1]) for _, _, cut in asked]
+                yield _row_batch([(b, chunk, b, planes(np.concatenate([k[s] for (k, _, _), s in zip(asked, own)])), narrow(np.concatenate([c[s] for (_, c, _), s in zip(asked, own)])), 0, 0)])
 
     return run
 
@@ -203,7 +208,7 @@ def _rows(batches):
 
 
 def _answer(batches):
-    """A bucket's sums, sent to each chunk for the n-grams it asked of; texts pass through."""
+    """A bucket's sums, sent to each chunk for the n-grams it asked of."""
 
     def flush(asked: list[tuple]):
         keys = [from_planes(r[3]) for r in asked]
@@ -223,9 +228,6 @@ def _answer(batches):
 
     held: list[tuple] = []
     for row in _rows(batches):
-        if row[2] < 0:
-            yield _row_batch([row])
-            continue
         if held and held[0][2] != row[2]:
             yield from flush(held)
             held = []
@@ -234,20 +236,29 @@ def _answer(batches):
         yield from flush(held)
 
 
-def _scored(order: int, prior: tuple[float, float]):
+def _scored(buckets: int, order: int, prior: tuple[float, float]):
+    edges = edges_of(buckets)
+
     def flush(text: tuple, answers: list[tuple]):
         table = pa.ipc.open_stream(text[3]).read_all().combine_chunks()
         tokens, at = stream(table.column("text"))
-        keys = ngrams(tokens, at, order)
-        known, _, _, inverse = distinct(keys)
-        counts = np.concatenate([from_narrow(r[4]) for r in sorted(answers, key=lambda r: r[2])])
-        if len(counts) != len(known):
-            raise RuntimeError(f"chunk {text[1]} asked for {len(known)} n-grams and got {len(counts)}")
-        types, total = sum(r[5] for r in answers), sum(r[6] for r in answers)
         n = len(tokens)
-        by = [counts[inverse[k * n : (k + 1) * n]] for k in range(order)]
-        for k, keys_k in enumerate(keys):
-            by[k][keys_k == 0] = 0
+        types, total = sum(r[5] for r in answers), sum(r[6] for r in answers)
+        parts = [from_narrow(r[4]) for r in sorted(answers, key=lambda r: r[2])]
+        if len(parts) != buckets:
+            raise RuntimeError(f"chunk {text[1]} got {len(parts)} answers of {buckets}")
+        used, by = [0] * buckets, []
+        for keys in ngrams(tokens, at, order):
+            known, sorted_, begin = distinct(keys)
+            sizes = np.diff(np.searchsorted(known, edges))
+            counts = np.concatenate([c[u : u + s] for c, u, s in zip(parts, used, sizes)])
+            used = [u + s for u, s in zip(used, sizes)]
+            spread = np.empty(n, np.int64)
+            spread[sorted_] = np.repeat(counts, np.diff(np.append(begin, n)))
+            spread[keys == 0] = 0
+            by.append(spread)
+        if used != [len(c) for c in parts]:
+            raise RuntimeError(f"the texts of chunk {text[1]} aren't those that asked")
         machine = BackoffAutomaton(by, total, types, prior)
         scored = np.ones(n, bool)
         scored[at[:-1]] = False
@@ -289,10 +300,11 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
-    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.spark_partition_id().cast("long").alias("part"))
+    wanted = stable(wanted)
     asked = wanted.mapInArrow(_ask(buckets, order), _ROW)
-    answered = asked.repartition("dest").sortWithinPartitions("bucket").mapInArrow(_answer, _ROW)
+    answered = asked.repartition("dest").sortWithinPartitions("bucket").mapInArrow(_answer, _ROW).union(wanted.mapInArrow(_texts, _ROW))
     kind = wanted.schema["doc_id"].dataType.simpleString()
     return answered.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(
-        _scored(order, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        _scored(buckets, order, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
