@@ -5,7 +5,8 @@
 2. Sizes are banded.  Two sets within a band's reach that are alike differ in at most k
    elements, k known from the band.  Splitting all elements by hash into more than k parts
    leaves a part in which they don't differ at all; so documents that share no part of
-   equal content need not be compared.  Sets that do share one are linked provisionally,
+   equal content need not be compared.  Shingles known to be common are left out of the
+   parts where enough others are left.  Sets that do share one are linked provisionally,
    and connected provisional links give groups.
 3. A group is compared in tiles of bounded size.  In a tile, members are in order of size;
    each meets only members whose size can reach the threshold and that aren't in its class
@@ -34,8 +35,6 @@ from .words import SPACED, blocks, hashed_words, mix
 WORDS, SHARE = 4, 0.85
 #: Sets of a band: sizes from RATIO**i up to RATIO**(i+1).
 RATIO = 1.5
-#: Parts beyond those that can differ; a set with as many empty parts also sends those.
-SPARE = 3
 #: Words of a bitmap, 64 bits each.
 MAP = 8
 #: Bytes of text of a tile, about.
@@ -62,7 +61,10 @@ def batch_shingles(column, n: int = WORDS) -> list[np.ndarray]:
 
 def set_hash(s: np.ndarray) -> int:
     """A set's 64-bit hash, signed; 0 for the empty set."""
-    return int(mix(np.array([s.size], np.uint64) ^ np.bitwise_xor.reduce(mix(s, 11)) + np.sum(mix(s, 12)))[0].astype(np.int64)) if len(s) else 0
+    if len(s) == 0:
+        return 0
+    both = int(np.bitwise_xor.reduce(mix(s, 11))) ^ (int(np.sum(mix(s, 12))) * 0x9E3779B97F4A7C15 + len(s))
+    return int(mix(np.array([both & (2**64 - 1)], np.uint64)).astype(np.int64)[0])
 
 
 def least_overlap(a: int, b: int, share: float = SHARE) -> int:
@@ -90,12 +92,35 @@ def band(size: int) -> int:
     return i
 
 
-def band_parts(i: int, share: float) -> int:
-    return most_apart(math.ceil(RATIO ** (i + 1)) - 1, share) + SPARE
+def band_parts(i: int, share: float) -> tuple[int, int]:
+    """How many parts a band's scheme has, and how many of them two alike sets agree on at least."""
+    apart = most_apart(math.ceil(RATIO ** (i + 1)) - 1, share)
+    spare = 3 + apart // 8
+    return apart + spare, spare
 
 
-def signatures(s: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """Hashes of a set's parts, in the scheme of its own band and in that of the band below if a member of that can reach it."""
+def _parts(s: np.ndarray, i: int, share: float, name: int) -> tuple[np.ndarray, bool]:
+    """Signatures of the parts of elements s in band i's scheme that aren't empty (of all, if too many are), and whether few enough are empty."""
+    parts, agree = band_parts(i, share)
+    part = (mix(s, 100 + i) >> np.uint64(11)).astype(np.float64) * (parts / 2.0**53)
+    part = np.minimum(part.astype(np.int64), parts - 1)
+    content = np.zeros(parts, np.uint64)
+    np.add.at(content, part, mix(s, 21))
+    many = np.bincount(part, minlength=parts)
+    full = np.flatnonzero(many)
+    few = parts - len(full) < agree
+    sent = full if few or not name else np.arange(parts)
+    return mix(content[sent] ^ mix((many[sent].astype(np.uint64) << np.uint64(32)) | sent.astype(np.uint64), 2 * (200 + i) + name), 22), few
+
+
+def signatures(s: np.ndarray, common: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """Hashes of a set's parts, in the scheme of its own band and in that of the band below if a member of that can reach it.
+
+    The parts are of its elements that aren't in `common`: alike sets differ in no more of
+    these than of all, and parts of common elements only would meet many sets that aren't
+    alike.  Two alike sets agree on `agree` parts or more; unless as many are empty in both,
+    one that they agree on isn't.  Where that many are, parts of all elements are sent too.
+    """
     size = len(s)
     if most_apart(size, share) == 0:
         return np.zeros(0, np.uint64)
@@ -104,19 +129,42 @@ def signatures(s: np.ndarray, share: float = SHARE) -> np.ndarray:
     schemes = [own]
     if own > 0 and (math.ceil(RATIO**own) - 1) * den >= size * num:
         schemes.append(own - 1)
+    rare = s
+    if len(common):
+        at = np.searchsorted(common, s)
+        at[at == len(common)] = 0
+        rare = s[common[at] != s]
     out = []
     for i in schemes:
-        parts = band_parts(i, share)
-        part = (mix(s, 100 + i) >> np.uint64(11)).astype(np.float64) * (parts / 2.0**53)
-        part = np.minimum(part.astype(np.int64), parts - 1)
-        content = np.zeros(parts, np.uint64)
-        np.add.at(content, part, mix(s, 21))
-        many = np.bincount(part, minlength=parts)
-        sent = np.arange(parts) if (many == 0).sum() >= SPARE else np.flatnonzero(many)
-        out.append(mix(content[sent] ^ mix((many[sent].astype(np.uint64) << np.uint64(32)) | sent.astype(np.uint64), 200 + i), 22))
+        sent, few = _parts(rare, i, share, 0)
+        out.append(sent)
+        if not few:
+            out.append(_parts(s, i, share, 1)[0])
     return np.concatenate(out)
 
 
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000) -> np.ndarray:
+    """Shingles that about one document in a thousand has, sorted, from a sample of about `sample` documents.
+
+    Only the work depends on them, not the result.  There are at most a thousand times as
+    many as a sampled document has shingles on average.
+    """
+    every = max(1, docs.count() // sample)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+
+    def run(batches):
+        for batch in blocks(batches, "text"):
+            sets = batch_shingles(batch.column(1), words)
+            h = np.sort(np.concatenate(sets))
+            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(h))))], names=["h", "n"])
+
+    least = max(8, chosen.count() // 1000)
+    counted = chosen.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    got = counted.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)
+    return np.sort(got)
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     bits = np.zeros(MAP * 64, np.uint8)
     bits[(mix(s, 31) >> np.uint64(40)).astype(np.int64) % (MAP * 64)] = 1
@@ -292,6 +340,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = batch_shingles(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
 
+    common = spark.sparkContext.broadcast(common_shingles(wanted, words))
+
     def sign(batches):
         seen: set[int] = set()  # equal sets of this task send their parts once
         for batch in blocks(batches, "text"):
@@ -299,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for s in batch_shingles(batch.column(1), words):
                 if len(s) and (name := set_hash(s)) not in seen:
                     seen.add(name)
-                    sig.append(signatures(s, share))
+                    sig.append(signatures(s, common.value, share))
                     own.append(np.full(len(sig[-1]), name, np.int64))
             if not sig:
                 continue
