@@ -168,6 +168,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows are predicted each; other columns are left aside; an empty table gives an empty result.
     """
     kept = [c for c in keep if c not in (id_col, text_col)]
+    texts = ["text"] if text_col in keep else []
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"k_{c}") for c in kept])
     m = model
 
@@ -190,9 +191,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 best, score = p.argmax(axis=1), p.max(axis=1)
             names = [m.languages[b] if good else UNKNOWN for b, good in zip(best, ok)]
             score = np.where(ok, np.minimum(score, 1.0), 0.0)
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok & (score >= m.threshold), pa.bool_()), *[batch.column(2 + i) for i in range(len(kept))]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "accepted", *[f"k_{c}" for c in kept]])
+            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok & (score >= m.threshold), pa.bool_()), *([column] if texts else []), *[batch.column(2 + i) for i in range(len(kept))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "accepted", *texts, *[f"k_{c}" for c in kept]])
 
-    schema = ", ".join([f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}", "lang_pred string", "score double", "accepted boolean", *[f"`k_{c}` {wanted.schema[f'k_{c}'].dataType.simpleString()}" for c in kept]])
+    schema = ", ".join([f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}", "lang_pred string", "score double", "accepted boolean", *[f"{c} string" for c in texts], *[f"`k_{c}` {wanted.schema[f'k_{c}'].dataType.simpleString()}" for c in kept]])
     out = wanted.mapInArrow(run, schema)
-    return out.select("doc_id", "lang_pred", "score", "accepted", *[F.col(f"k_{c}").alias(c) for c in kept])
+    return out.select("doc_id", "lang_pred", "score", "accepted", *[F.col("text" if c == text_col else f"k_{c}").alias(c) for c in keep if c != id_col])
