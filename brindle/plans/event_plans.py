@@ -45,7 +45,7 @@ def metric_series_cap(spark, sf_dir):
 
 
 @query(
-    f"WITH {EVENTS_SQL}, s AS (SELECT '{{shard=\"' || CAST(user_id % 4 AS STRING) || '\",type=\"' || event_type || '\"}}' AS at, count(*) AS n FROM ev GROUP BY 1), l AS (SELECT 0 AS part, '' AS lbl, '# HELP events_total Events seen.' AS line UNION ALL SELECT 1, '', '# TYPE events_total counter' UNION ALL SELECT 2, lbl, 'events_total' || lbl || ' ' || n FROM s) "
+    f"WITH {EVENTS_SQL}, s AS (SELECT '{{shard=\"' || CAST(user_id % 4 AS STRING) || '\",type=\"' || event_type || '\"}}' AS lbl, count(*) AS n FROM ev GROUP BY 1), l AS (SELECT 0 AS part, '' AS lbl, '# HELP events_total Events seen.' AS line UNION ALL SELECT 1, '', '# TYPE events_total counter' UNION ALL SELECT 2, lbl, 'events_total' || lbl || ' ' || n FROM s) "
     "SELECT row_number() OVER (ORDER BY part, lbl, line) - 1 AS line_no, line FROM l"
 )
 def metric_exposition_text(spark, sf_dir):
