@@ -22,38 +22,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stable
+from .storage import cut
 from .words import SPACED, blocks, grouped, hashed_words, mix
 
 #: Words of a chunk, about.
-CHUNK = 2_000_000
-#: An n-gram's key: this many bits, the lowest three its order (0: the start of a text as a context).
-BITS, TAG = 56, 3
+CHUNK = 1_000_000
 _START, _END = np.uint64(0x5EED0001), np.uint64(0x5EED0002)
 _ROW = "dest int, chunk bigint, bucket int, keys binary, counts binary, types bigint, tokens bigint"
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys byte by byte, so that the leading bytes compress."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
+def key_bits(size: int) -> int:
+    """Bits of an n-gram's key for an input of `size` bytes: few enough n-grams share one (fewer than one in ten thousand)."""
+    return 48 if size < 100 << 30 else 56 if size < 25 << 40 else 64
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // BITS
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : BITS // 8] = np.frombuffer(data, np.uint8).reshape(BITS // 8, n).T
-    return out.view("<u8").ravel()
+def squeezed(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys: the steps between them, byte by byte, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    raw = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].T.tobytes()
+    return len(keys).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : bits // 8] = np.frombuffer(pa.decompress(data[8:], n * bits // 8, codec="zstd", asbytes=True), np.uint8).reshape(bits // 8, n).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def narrow(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each, led by that number."""
+    """Counts in the fewest bytes each, compressed."""
     most = int(counts.max()) if len(counts) else 0
     size = next(s for s in (1, 2, 4, 8) if most < 1 << (8 * s) or s == 8)
-    return bytes((size,)) + counts.astype(f"<u{size}").tobytes()
+    return bytes((size,)) + len(counts).to_bytes(8, "little") + pa.compress(counts.astype(f"<u{size}").tobytes(), codec="zstd", asbytes=True)
 
 
 def from_narrow(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], n * size, codec="zstd", asbytes=True), f"<u{size}").astype(np.int64)
 
 
 def stream(column) -> tuple[np.ndarray, np.ndarray]:
@@ -69,34 +75,27 @@ def stream(column) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def ngrams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
-    """For k = 1..order the key of the k-gram that ends at each position; 0 where none does.  Start marks have an own key at k = 1."""
-    position = np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at))
-    tags, top = np.uint64((1 << TAG) - 1), np.uint64(64 - BITS)
+def ngrams(tokens: np.ndarray, at: np.ndarray, order: int, bits: int):
+    """For k = 1..order in turn: the key of the k-gram that ends at each position, and where there is one.  A start mark is a 1-gram."""
+    position = np.arange(len(tokens), dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
+    down = np.uint64(64 - bits)
     g = mix(tokens, 1)
-    out = []
     for k in range(1, order + 1):
         if k > 1:
-            longer = np.zeros_like(g)
-            longer[1:] = mix(g[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ tokens[1:], k)
-            g = longer
-        key = (g >> top) & ~tags | np.uint64(k)
-        if k == 1:
-            key = np.where(position == 0, key & ~tags, key)
-        else:
-            key[position < k - 1] = 0
-        out.append(key)
-    return out
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and as `grouped` sorts the positions: order and begins."""
-    order, begin = grouped(keys << np.uint64(64 - BITS))
+            g[1:] = mix(g[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ tokens[1:], k)
+        yield g >> down, position >= k - 1
+
+
+def distinct(keys: np.ndarray, there: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the positions where there is one, those positions in the order of their keys, and where in it each key begins."""
+    where = np.flatnonzero(there)
+    order, begin = grouped(keys[where] << np.uint64(64 - bits))
+    order = where[order]
     return keys[order[begin]], order, begin
 
 
-def edges_of(buckets: int) -> np.ndarray:
-    return np.array([-(-(b << BITS) // buckets) for b in range(buckets + 1)], dtype=np.uint64)
+def edges_of(buckets: int, bits: int) -> np.ndarray:
+    return np.array([min(-(-(b << bits) // buckets), (1 << 64) - 1) for b in range(buckets + 1)], dtype=np.uint64)
 
 
 class BackoffAutomaton:
@@ -183,21 +182,28 @@ def _texts(batches):
         yield _row_batch([(0, chunk, -1, _encoded(table), b"", 0, 0)])
 
 
-def _ask(buckets: int, order: int):
+def _ask(buckets: int, order: int, bits: int):
     """For each chunk and bucket the distinct n-grams that the bucket owns, order by order, with their counts in what is learned."""
-    edges = edges_of(buckets)
+    edges = edges_of(buckets, bits)[:-1]
 
     def run(batches):
         for chunk, table in _chunks(batches):
             tokens, at = stream(table.column("text"))
-            learn = np.repeat(table.column("learn").to_numpy(zero_copy_only=False), np.diff(at)).astype(np.int64)
+            starts = at[:-1]
+            learn = np.repeat(table.column("learn").to_numpy(zero_copy_only=False), np.diff(at))
             asked = []
-            for keys in ngrams(tokens, at, order):
-                known, sorted_, begin = distinct(keys)
-                asked.append((known, np.add.reduceat(learn[sorted_], begin), np.searchsorted(known, edges)))
+            for k, (keys, there) in enumerate(ngrams(tokens, at, order, bits)):
+                known, places, begin = distinct(keys, there, bits)
+                many = np.add.reduceat(learn[places].astype(np.int64), begin)
+                asked.append((known, many, np.append(np.searchsorted(known, edges), len(known))))
+                if k == 0:
+                    start_key = keys[starts[0]]
+            del tokens, learn, keys, there, places, begin
             for b in range(buckets):
                 own = [slice(cut[b], cut[b + 1]) for _, _, cut in asked]
-                yield _row_batch([(b, chunk, b, planes(np.concatenate([k[s] for (k, _, _), s in zip(asked, own)])), narrow(np.concatenate([c[s] for (_, c, _), s in zip(asked, own)])), 0, 0)])
+                for k, ((known, many, _), s) in enumerate(zip(asked, own)):
+                    # the start mark's key goes along, for it isn't a word
+                    yield _row_batch([(b, chunk, b * order + k, squeezed(known[s], bits), narrow(many[s]), int(start_key.astype(np.int64)) if k == 0 else 0, 0)])
 
     return run
 
@@ -207,58 +213,59 @@ def _rows(batches):
         yield from zip(*[c.to_pylist() for c in batch.columns])
 
 
-def _answer(batches):
+def _answer(order: int, bits: int):
     """A bucket's sums, sent to each chunk for the n-grams it asked of."""
 
     def flush(asked: list[tuple]):
-        keys = [from_planes(r[3]) for r in asked]
+        keys = [unsqueezed(r[3], bits) for r in asked]
         flat = np.concatenate(keys)
         flat.sort()
         owned = flat[np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))] if len(flat) else flat
+        del flat
         total = np.zeros(len(owned), np.int64)
-        at = []
         for r, k in zip(asked, keys):
-            i = np.searchsorted(owned, k)
-            total[i] += from_narrow(r[4])
-            at.append(i)
-        words = total[(owned & np.uint64((1 << TAG) - 1)) == 1]
-        types, tokens = int((words > 0).sum()), int(words.sum())
-        for r, i in zip(asked, at):
-            yield _row_batch([(0, r[1], r[2], b"", narrow(total[i]), types, tokens)])
-
-    held: list[tuple] = []
-    for row in _rows(batches):
-        if held and held[0][2] != row[2]:
+            total[np.searchsorted(owned, k)] += from_narrow(r[4])
+        types = tokens = 0
+        if asked[0][2] % order == 0:  # single words
+            word = owned != np.uint64(np.int64(asked[0][5]).astype(np.uint64))
+            types, tokens = int((word & (total > 0)).sum()), int(total[word].sum())
+        for r, k in zip(asked, keys):
+            yield _row_batch([(0, r[1], r[2], b"", narrow(total[np.searchsorted(owned, k)]), types, tokens)])
+
+    def run(batches):
+        held: list[tuple] = []
+        for row in _rows(batches):
+            if held and held[0][2] != row[2]:
+                yield from flush(held)
+                held = []
+            held.append(row)
+        if held:
             yield from flush(held)
-            held = []
-        held.append(row)
-    if held:
-        yield from flush(held)
+
+    return run
 
 
-def _scored(buckets: int, order: int, prior: tuple[float, float]):
-    edges = edges_of(buckets)
+def _scored(buckets: int, order: int, bits: int, prior: tuple[float, float]):
+    edges = edges_of(buckets, bits)[:-1]
 
     def flush(text: tuple, answers: list[tuple]):
         table = pa.ipc.open_stream(text[3]).read_all().combine_chunks()
         tokens, at = stream(table.column("text"))
         n = len(tokens)
         types, total = sum(r[5] for r in answers), sum(r[6] for r in answers)
-        parts = [from_narrow(r[4]) for r in sorted(answers, key=lambda r: r[2])]
-        if len(parts) != buckets:
-            raise RuntimeError(f"chunk {text[1]} got {len(parts)} answers of {buckets}")
-        used, by = [0] * buckets, []
-        for keys in ngrams(tokens, at, order):
-            known, sorted_, begin = distinct(keys)
-            sizes = np.diff(np.searchsorted(known, edges))
-            counts = np.concatenate([c[u : u + s] for c, u, s in zip(parts, used, sizes)])
-            used = [u + s for u, s in zip(used, sizes)]
-            spread = np.empty(n, np.int64)
-            spread[sorted_] = np.repeat(counts, np.diff(np.append(begin, n)))
-            spread[keys == 0] = 0
+        parts = {r[2]: r[4] for r in answers}
+        if len(parts) != buckets * order:
+            raise RuntimeError(f"chunk {text[1]} got {len(parts)} answers of {buckets * order}")
+        by = []
+        for k, (keys, there) in enumerate(ngrams(tokens, at, order, bits)):
+            known, places, begin = distinct(keys, there, bits)
+            counts = [from_narrow(parts.pop(b * order + k)) for b in range(buckets)]
+            if [len(c) for c in counts] != np.diff(np.append(np.searchsorted(known, edges), len(known))).tolist():
+                raise RuntimeError(f"the texts of chunk {text[1]} aren't those that asked: the input changed between its two scans")
+            spread = np.zeros(n, np.int64)
+            spread[places] = np.repeat(np.concatenate(counts), np.diff(np.append(begin, len(places))))
             by.append(spread)
-        if used != [len(c) for c in parts]:
-            raise RuntimeError(f"the texts of chunk {text[1]} aren't those that asked")
+        del tokens, keys, there, places, begin, known, counts
         machine = BackoffAutomaton(by, total, types, prior)
         scored = np.ones(n, bool)
         scored[at[:-1]] = False
@@ -297,14 +304,16 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     Other columns are left aside; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if buckets is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
+    bits = key_bits(size)
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.spark_partition_id().cast("long").alias("part"))
-    wanted = stable(wanted)
-    asked = wanted.mapInArrow(_ask(buckets, order), _ROW)
-    answered = asked.repartition("dest").sortWithinPartitions("bucket").mapInArrow(_answer, _ROW).union(wanted.mapInArrow(_texts, _ROW))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        wanted = cut(wanted)  # shuffled rows may come in another order the second time
+    asked = wanted.mapInArrow(_ask(buckets, order, bits), _ROW)
+    answered = asked.repartition("dest").sortWithinPartitions("bucket").mapInArrow(_answer(order, bits), _ROW).union(wanted.mapInArrow(_texts, _ROW))
     kind = wanted.schema["doc_id"].dataType.simpleString()
     return answered.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(
-        _scored(buckets, order, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        _scored(buckets, order, bits, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

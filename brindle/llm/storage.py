@@ -31,19 +31,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df as rows that two readers see in the same partitions and order.
-
-    A plan that only scans is planned once here; one that shuffles is kept in the shared
-    folder first, for the order in which shuffled rows arrive may change.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "QueryStage" in plan:
-        return cut(df)
-    made = df.sparkSession._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
-    return DataFrame(made, df.sparkSession)
-
-
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Deletes path by Hadoop's file system, wherever it is."""
     jvm = spark.sparkContext._jvm
