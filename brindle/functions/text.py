@@ -24,7 +24,7 @@ def truncate(c: Column, n: int) -> Column:
 
 def truncate_bytes(c: Column, n: int) -> Column:
     """The longest prefix of at most n bytes that cuts no character."""
-    cut = F.decode(F.substring(F.encode(c, "UTF-8"), 1, n), "UTF-8")
+    cut = F.make_valid_utf8(F.substring(c.cast("binary"), 1, n).cast("string"))
     # a cut character decodes to replacement marks; the prefix has one character fewer
     return F.when(F.octet_length(c) <= n, c).when(F.startswith(c, cut), cut).otherwise(F.left(c, F.length(F.regexp_replace(cut, "\\x{FFFD}{1,3}\\z", ""))))
 

@@ -18,9 +18,6 @@ FAILED = ("dead", "permanent_conflict")
 FINAL = ("accepted", "dead", "permanent_conflict")
 RESENDABLE = ("pending", "retryable_pre_dispatch", "outcome_unknown")
 
-_sequence = Window.partitionBy("scope", "message_id", "phase").orderBy("ordinal")
-_before = _sequence.rangeBetween(Window.unboundedPreceding, -1)
-
 
 def is_terminal(c: Column) -> Column:
     return c.isin(*FAILED)
@@ -32,9 +29,10 @@ def is_resendable(c: Column) -> Column:
 
 def with_predecessors(outbox: DataFrame) -> DataFrame:
     """Adds whether an earlier reply of the sequence isn't accepted, and whether one has failed for good."""
+    before = Window.partitionBy("scope", "message_id", "phase").orderBy("ordinal").rangeBetween(Window.unboundedPreceding, -1)
     return outbox.withColumns({
-        "blocked": F.coalesce(F.max(F.col("status") != "accepted").over(_before), F.lit(False)),
-        "broken": F.coalesce(F.max(F.col("status").isin(*FAILED)).over(_before), F.lit(False)),
+        "blocked": F.coalesce(F.max(F.col("status") != "accepted").over(before), F.lit(False)),
+        "broken": F.coalesce(F.max(F.col("status").isin(*FAILED)).over(before), F.lit(False)),
     })
 
 

@@ -124,7 +124,7 @@ RULES = [
     filled(r)
     for r in (
         Rule("override_en", rf"\b(?:ignore|disregard|forget|bypass|override){_GAP}(?:previous|prior|above|earlier){_GAP}(?:instruction|rule|prompt|polic)", family="override", action="block", view="aggregate_norm", segments=_ALL, exclude=(r"\b(?:firewall|lint|spam|cache|routing|grammar)\W+rules?\b", r"\bmy\W+(?:previous|prior|earlier)\b"), sentence_break=24, literals=("ignore", "disregard", "forget", "bypass", "override")),
-        Rule("override_joined_en", r"(?:ignore|disregard|forget)(?:all|any|the)?(?:previous|prior)(?:instruction|rule|prompt)", family="override", action="block", view="aggregate_joined", segments=_ALL, literals=("ignore", "disregard", "forget")),
+        Rule("override_joined_en", r"(?:ignore|disregard|forget)(?:all|any|the|of){0,3}(?:previous|prior)(?:instruction|rule|prompt)", family="override", action="block", view="aggregate_joined", segments=_ALL, literals=("ignore", "disregard", "forget")),
         Rule("exfil_prompt_en", rf"\b(?:show|print|reveal|repeat|output){_GAP}(?:system|hidden|developer|internal)\W+(?:prompt|message|instruction)", family="prompt_exfil", action="block", view="aggregate_norm", segments=_ALL, sentence_break=24, literals=("show", "print", "reveal", "repeat", "output")),
         Rule("exfil_secret_en", rf"\b(?:show|print|reveal|dump|send){_GAP}(?:api[ _-]?key|access[ _-]?token|password|credential)", family="secret_exfil", action="block", view="aggregate_norm", segments=_ALL, exclude=(r"\bhow\W+to\W+reset\b",), sentence_break=28, literals=("show", "print", "reveal", "dump", "send")),
         Rule("role_play_en", rf"\b(?:you are now|act as|pretend to be){_GAP}(?:unrestricted|jailbroken|without (?:rules|limits))", family="role", weight=0.6, view="norm", literals=("you are now", "act as", "pretend")),
