@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     m = model
 
     def run(batches):
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 2 << 20):
             column = batch.column(1)
             ok = np.array([bool(t) and has_letter(t) for t in column.to_pylist()]) & bool(m.languages)
             best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
