@@ -90,10 +90,10 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = wanted.join(_maybe_small(per_doc), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "hs")
     again = _units(texts, piece).where((F.size("w") >= least) & F.array_contains("hs", F.xxhash64("w"))).withColumn("h", F.xxhash64("w")).withColumn("place", _place())
     again = again.join(chosen.select(F.col("h").alias("c_h"), F.col("place").alias("c_place")), (F.col("h") == F.col("c_h")) & (F.col("place") == F.col("c_place")), "left_semi")
-    again = cut(again.groupBy("h", "place").agg(F.first("w").alias("w")))
-    # 3: variants
-    keys = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.struct(i.alias("i"), F.xxhash64(_without(F.col("w"), i)).alias("key")))
-    variants = again.select("h", "place", F.explode(keys).alias("v")).select("h", "place", "v.i", "v.key")
+    # 3: variants, computed once
+    keys = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.xxhash64(_without(F.col("w"), i)))
+    again = cut(again.groupBy("h", "place").agg(F.first("w").alias("w")).withColumn("keys", keys))
+    variants = again.select("h", "place", F.posexplode("keys").alias("i", "key"))
     # 4: the earliest of each
     earliest = variants.groupBy("key", "i").agg(F.min("place").alias("m"), F.count(F.lit(1)).alias("c"))
     whole, part = F.when(F.col("i") == 0, F.col("m")), F.when(F.col("i") > 0, F.col("m"))
