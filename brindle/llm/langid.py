@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)).select("text", "lang")
 
     def run(batches):
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             counted = features(batch.column(0), s.buckets)
             sparse = [np.flatnonzero(c) for c in counted]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.astype("<i4").tobytes() for i in sparse], pa.binary()), pa.array([c[i].astype("<f4").tobytes() for c, i in zip(counted, sparse)], pa.binary())], names=["lang", "ids", "n"])

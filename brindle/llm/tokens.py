@@ -30,7 +30,7 @@ from .words import blocks, hash_spans, text_bytes, unique_inverse
 MAGIC = b"BRBP"
 BLOCK = 1 << 16
 #: Longest piece (bytes) and most pieces that a worker remembers the ids of.
-CACHED_BYTES, CACHED = 64, 3_000_000
+CACHED_BYTES, CACHED = 64, 1_000_000
 
 
 # ---- bit packing

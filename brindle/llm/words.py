@@ -133,8 +133,29 @@ def unique_inverse(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order[begin]], order[begin], inverse
 
 
+def lean() -> None:
+    """Gives freed memory of this worker back, now and (for large arrays) whenever they are freed: workers outlive tasks."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; setting it keeps it from growing
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(batches, text: str, most: int = 8 << 20):
     """Record batches cut so that their texts have about `most` bytes; a row is never cut."""
+    lean()
+    try:
+        yield from _blocks(batches, text, most)
+    finally:
+        lean()
+
+
+def _blocks(batches, text: str, most: int):
     for batch in batches:
         if batch.num_rows == 0:
             continue
