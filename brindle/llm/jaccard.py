@@ -320,7 +320,7 @@ def _tiles(share: float, words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, tile_bytes: int = TILE_BYTES, buckets: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
     Two documents link if their sets of distinct `words`-word shingles of lower-cased words
@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
+    buckets = buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
 
     def measure(batches):
         for batch in blocks(batches, "text"):
