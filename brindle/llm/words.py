@@ -146,7 +146,7 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def blocks(batches, text: str, most: int = 8 << 20):
+def blocks(batches, text: str, most: int = 2 << 20):
     """Record batches cut so that their texts have about `most` bytes; a row is never cut."""
     lean()
     try:
