@@ -1,7 +1,7 @@
 """Reply-outbox operators over snapshots: ordered delivery per (scope, message_id, phase).
 
 An outbox has id, scope, message_id, phase, ordinal, room_id, client_request_id,
-payload, payload_hash, status, attempts, available_at, first_attempt_at, iris_request_id,
+payload, payload_hash, status, attempts, available_at, first_attempt_at, remote_request_id,
 claim_token, lease_until, created_at and expires_at (microseconds since the epoch).
 """
 
@@ -90,7 +90,7 @@ def settle(outbox: DataFrame, scope: str, token: str, as_of: int, status: str, d
     final = status in FINAL
     cond = (F.col("scope") == scope) & (F.col("claim_token") == token)
     return transition(
-        outbox, cond if only is None else cond & only, status=status, iris_request_id=F.coalesce(F.nullif(F.lit(request_id), F.lit("")), F.col("iris_request_id")),
+        outbox, cond if only is None else cond & only, status=status, remote_request_id=F.coalesce(F.nullif(F.lit(request_id), F.lit("")), F.col("remote_request_id")),
         payload=F.lit(None) if final else F.col("payload"), room_id=F.lit("") if final else F.col("room_id"), attempts=F.lit(0) if progressed and not final else F.col("attempts"),
         available_at=as_of + delay, claim_token=None, lease_until=None,
     )

@@ -42,7 +42,7 @@ OUTBOX = {
     "attempts": "CAST(part % 6 AS INT)",
     "available_at": f"{{us:ship}} + (l_orderkey % 5) * {DAY}",
     "first_attempt_at": f"CASE WHEN part % 2 = 0 THEN {{us:ship}} + {DAY} END",
-    "iris_request_id": "CASE WHEN part % 4 = 0 THEN concat('q', CAST(part AS STRING)) END",
+    "remote_request_id": "CASE WHEN part % 4 = 0 THEN concat('q', CAST(part AS STRING)) END",
     "claim_token": "CASE WHEN (l_orderkey + l_linenumber) % 11 IN (1, 3) THEN concat('c', CAST(l_orderkey % 17 AS STRING)) END",
     "lease_until": f"CASE WHEN (l_orderkey + l_linenumber) % 11 = 1 THEN {{us:ship}} + (l_orderkey % 300) * {DAY} END",
     "created_at": "{us:ship}",

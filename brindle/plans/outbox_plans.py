@@ -65,11 +65,11 @@ def reply_begin_attempt(spark, sf_dir):
 def _settle(status: str, progressed: bool) -> str:
     final = status in ops.FINAL
     hit = "coalesce(scope = 'alpha' AND claim_token = 'c3', false)"
-    sets = {"status": f"'{status}'", "iris_request_id": "coalesce('req-9', iris_request_id)", "payload": "NULL" if final else "payload", "room_id": "''" if final else "room_id", "attempts": "0" if progressed and not final else "attempts", "available_at": str(AS_OF + DAY), "claim_token": "NULL"}
+    sets = {"status": f"'{status}'", "remote_request_id": "coalesce('req-9', remote_request_id)", "payload": "NULL" if final else "payload", "room_id": "''" if final else "room_id", "attempts": "0" if progressed and not final else "attempts", "available_at": str(AS_OF + DAY), "claim_token": "NULL"}
     return f"WITH {OUTBOX_SQL} SELECT id, {', '.join(f'CASE WHEN {hit} THEN {v} ELSE {c} END AS {c}' for c, v in sets.items())}, {hit} AS changed FROM outbox"
 
 
-_SETTLED = ("id", "status", "iris_request_id", "payload", "room_id", "attempts", "available_at", "claim_token", "changed")
+_SETTLED = ("id", "status", "remote_request_id", "payload", "room_id", "attempts", "available_at", "claim_token", "changed")
 
 
 @query(_settle("accepted", True))
