@@ -21,25 +21,27 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_PLANTED = "concat(CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in _PLANT.items()) + " ELSE '' END, '. ', substring(text, 1, 400))"
+_PLANTED = "concat(CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in _PLANT.items()) + " ELSE '' END, '. ', coalesce(text, ''))"
 _DECIDED = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _WANT.items()) + " ELSE 'allow' END"
 _CLEAN = "NOT regexp_matches(substring(text, 1, 400), '[0-9A-Za-z_]{16}')"
 
 
-def _guarded(spark, sf_dir):
-    # documents whose own start could decode to something are left to the test corpus, as the oracle can't decode
-    docs = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 400).rlike("[0-9A-Za-z_]{16}"))
-    return textguard.guard(docs.selectExpr("doc_id", "source", f"{_PLANTED} AS text"))
+def _guarded(spark, sf_dir, only="true"):
+    return textguard.guard(table(spark, sf_dir, "documents").where(only).selectExpr("doc_id", "source", f"{_PLANTED} AS text"))
+
+
+#: The rows that the SQL of guard_decisions and guard_enforcement has, of which whole texts are judged; guard_hits and guard_family_rollup have all.
+_SQL_ROWS = "NOT substring(text, 1, 400) RLIKE '[0-9A-Za-z_]{16}'"
 
 
 @query(f"SELECT doc_id, {_DECIDED} AS decision FROM documents WHERE {_CLEAN}")
 def guard_decisions(spark, sf_dir):
-    return _guarded(spark, sf_dir).select("doc_id", "decision")
+    return _guarded(spark, sf_dir, _SQL_ROWS).select("doc_id", "decision")
 
 
 @query(f"WITH d AS (SELECT doc_id, {_DECIDED} AS decision, CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END AS e FROM documents WHERE {_CLEAN}) SELECT e AS enforcement, decision, CASE e WHEN 'observe' THEN false WHEN 'interactive' THEN decision = 'block' ELSE decision <> 'allow' END AS rejected, count(*) AS n FROM d GROUP BY ALL")
 def guard_enforcement(spark, sf_dir):
-    rows = _guarded(spark, sf_dir).withColumn("enforcement", F.expr("CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END"))
+    rows = _guarded(spark, sf_dir, _SQL_ROWS).withColumn("enforcement", F.expr("CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END"))
     return rows.withColumn("rejected", textguard.rejects(F.col("enforcement"), F.col("decision"))).groupBy("enforcement", "decision", "rejected").agg(F.count(F.lit(1)).alias("n"))
 
 
