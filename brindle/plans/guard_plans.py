@@ -67,7 +67,7 @@ def text_views_ascii(spark, sf_dir):
 
 @query()
 def text_views_joined(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 300), "[^ -~]", "").alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("s"))
     return rows.select("doc_id", textguard.views_ascii(F.col("s"))[1].alias("joined"))
 
 
