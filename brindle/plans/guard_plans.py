@@ -23,25 +23,20 @@ def _quoted(s: str) -> str:
 
 _PLANTED = "concat(CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in _PLANT.items()) + " ELSE '' END, '. ', coalesce(text, ''))"
 _DECIDED = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _WANT.items()) + " ELSE 'allow' END"
-_CLEAN = "NOT regexp_matches(substring(text, 1, 400), '[0-9A-Za-z_]{16}')"
 
 
-def _guarded(spark, sf_dir, only="true"):
-    return textguard.guard(table(spark, sf_dir, "documents").where(only).selectExpr("doc_id", "source", f"{_PLANTED} AS text"))
+def _guarded(spark, sf_dir):
+    return textguard.guard(table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{_PLANTED} AS text"))
 
 
-#: The rows that the SQL of guard_decisions and guard_enforcement has, of which whole texts are judged; guard_hits and guard_family_rollup have all.
-_SQL_ROWS = "NOT substring(text, 1, 400) RLIKE '[0-9A-Za-z_]{16}'"
-
-
-@query(f"SELECT doc_id, {_DECIDED} AS decision FROM documents WHERE {_CLEAN}")
+@query(f"SELECT doc_id, {_DECIDED} AS decision FROM documents")
 def guard_decisions(spark, sf_dir):
-    return _guarded(spark, sf_dir, _SQL_ROWS).select("doc_id", "decision")
+    return _guarded(spark, sf_dir).select("doc_id", "decision")
 
 
-@query(f"WITH d AS (SELECT doc_id, {_DECIDED} AS decision, CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END AS e FROM documents WHERE {_CLEAN}) SELECT e AS enforcement, decision, CASE e WHEN 'observe' THEN false WHEN 'interactive' THEN decision = 'block' ELSE decision <> 'allow' END AS rejected, count(*) AS n FROM d GROUP BY ALL")
+@query(f"WITH d AS (SELECT doc_id, {_DECIDED} AS decision, CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END AS e FROM documents) SELECT e AS enforcement, decision, CASE e WHEN 'observe' THEN false WHEN 'interactive' THEN decision = 'block' ELSE decision <> 'allow' END AS rejected, count(*) AS n FROM d GROUP BY ALL")
 def guard_enforcement(spark, sf_dir):
-    rows = _guarded(spark, sf_dir, _SQL_ROWS).withColumn("enforcement", F.expr("CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END"))
+    rows = _guarded(spark, sf_dir).withColumn("enforcement", F.expr("CASE doc_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'interactive' ELSE 'persistent' END"))
     return rows.withColumn("rejected", textguard.rejects(F.col("enforcement"), F.col("decision"))).groupBy("enforcement", "decision", "rejected").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,17 +50,21 @@ def guard_family_rollup(spark, sf_dir):
     return _guarded(spark, sf_dir).select("source", F.explode("families").alias("family")).groupBy("source", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ASCII = "regexp_replace(substring(text, 1, 300), '[^ -~]', '', 'g')"
+_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
+#: I after a small letter, not before n or g, as l: runs of up to four in the oracle.
+_UNFOLDED = "regexp_replace(s, 'I([ng])', concat(chr(1), '\\1'), 'g')"
+for _ in range(4):
+    _UNFOLDED = f"regexp_replace({_UNFOLDED}, '([a-z])I', '\\1l', 'g')"
+_NORM = f"trim(regexp_replace(lower(replace({_UNFOLDED}, chr(1), 'I')), ' +', ' ', 'g'))"
 
 
-@query(f"WITH a AS (SELECT doc_id, {_ASCII} AS s FROM documents) SELECT doc_id, trim(regexp_replace(lower(s), ' +', ' ', 'g')) AS norm FROM a WHERE NOT regexp_matches(s, '[a-z]I')")
+@query(f"WITH a AS (SELECT doc_id, {_ASCII} AS s FROM documents) SELECT doc_id, {_NORM} AS norm FROM a")
 def text_views_ascii(spark, sf_dir):
-    s = F.regexp_replace(F.substring("text", 1, 300), "[^ -~]", "")
-    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).where(~F.col("s").rlike("[a-z]I"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("s"))
     return rows.select("doc_id", textguard.views_ascii(F.col("s"))[0].alias("norm"))
 
 
-@query()
+@query(f"WITH a AS (SELECT doc_id, {_ASCII} AS s FROM documents), n AS (SELECT doc_id, {_NORM} AS norm FROM a) SELECT doc_id, trim(replace(regexp_replace(regexp_replace(norm, '[^a-z0-9]{{5,}}', chr(1), 'g'), '[^a-z0-9\\x01]+', '', 'g'), chr(1), ' ')) AS joined FROM n")
 def text_views_joined(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("s"))
     return rows.select("doc_id", textguard.views_ascii(F.col("s"))[1].alias("joined"))
@@ -157,9 +156,9 @@ def shape_problems(spark, sf_dir):
     return validate.shape_problems(a, b, "k", "r", "name")
 
 
-@query("SELECT DISTINCT worker, problem FROM (SELECT concat('w', CAST(user_id AS STRING)) AS worker, unnest([CASE WHEN user_id >= 40 THEN 'unknown_worker' END, CASE WHEN user_id % 9 = 0 THEN 'runtime' END, CASE WHEN user_id % 5 = 0 THEN 'memory_scope' END]) AS problem FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 50)) WHERE problem IS NOT NULL")
+@query("SELECT DISTINCT worker, problem FROM (SELECT concat('w', CAST(user_id AS STRING)) AS worker, unnest([CASE WHEN user_id >= 40 THEN 'unknown_worker' END, CASE WHEN user_id % 9 = 0 THEN 'runtime' END, CASE WHEN user_id % 5 = 0 THEN 'memory_scope' END]) AS problem FROM (SELECT DISTINCT user_id FROM events)) WHERE problem IS NOT NULL")
 def registration_problems(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id < 50").select("user_id").distinct()
+    rows = table(spark, sf_dir, "events").select("user_id").distinct()
     rows = rows.selectExpr("concat('w', CAST(user_id AS STRING)) AS worker", "CASE WHEN user_id % 9 = 0 THEN 'lisp' ELSE 'go' END AS runtime", "CASE WHEN user_id % 5 = 0 THEN 'memory' ELSE 'postgres' END AS backend", "'shared' AS scope")
     return validate.registration_problems(rows, [f"w{i}" for i in range(40)])
 
@@ -173,6 +172,6 @@ def markdown_render(spark, sf_dir):
     return rows.select("doc_id", markdown.rendered(F.col("md")).alias("chat"))
 
 
-@query("SELECT doc_id, regexp_replace(substring(text, 1, 120), '([\\\\`*_{}\\[\\]()#+\\-.!|~>])', '\\\\\\1', 'g') AS escaped FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '([\\\\`*_{}\\[\\]()#+\\-.!|~>])', '\\\\\\1', 'g') AS escaped FROM documents")
 def markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markdown.escape(F.substring("text", 1, 120)).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.escape(F.col("text")).alias("escaped"))

@@ -6,8 +6,10 @@ from ..functions import net, redact, text
 from ..operators import chat
 from .registry import query, table
 
+#: Unicode white space in the oracles' patterns.
+_WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Strings with blanks, case and punctuation, made alike in both engines.
-_MIXED = "concat(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN '-' WHEN 2 THEN 'A_' ELSE '' END, substring(text, 1, 40), CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '!' ELSE '.x' END)"
+_MIXED = "concat(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN '-' WHEN 2 THEN 'A_' ELSE '' END, coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '!' ELSE '.x' END)"
 
 
 def _mixed(spark, sf_dir):
@@ -19,12 +21,12 @@ def string_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 50).alias("short"))
 
 
-@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents) SELECT doc_id, lower(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS norm, translate(lower(regexp_replace(s, '^\\s+|\\s+$', '', 'g')), ' -_.!☆・‘’''ー—', '') AS key FROM m")
+@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents) SELECT doc_id, lower(regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')) AS norm, translate(lower(regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), ' -_.!☆・‘’''ー—', '') AS key FROM m")
 def normalize_key(spark, sf_dir):
     return _mixed(spark, sf_dir).select("doc_id", text.normalized(F.col("s")).alias("norm"), text.normalized_key(F.col("s")).alias("key"))
 
 
-@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents), f AS (SELECT *, regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS flat FROM m) SELECT doc_id, substring(sha256(s), 1, 32) AS short, CASE WHEN flat = '' THEN '' ELSE substring(sha256(flat), 1, 32) END AS log, substring(sha256(s), 1, 16) AS rate, sha256(s) AS payload FROM f")
+@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents), f AS (SELECT *, regexp_replace(regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g') AS flat FROM m) SELECT doc_id, substring(sha256(s), 1, 32) AS short, CASE WHEN flat = '' THEN '' ELSE substring(sha256(flat), 1, 32) END AS log, substring(sha256(s), 1, 16) AS rate, sha256(s) AS payload FROM f")
 def hashes(spark, sf_dir):
     s = F.col("s")
     return _mixed(spark, sf_dir).select("doc_id", text.short_hash(s).alias("short"), text.log_hash(s).alias("log"), text.rate_key_hash(s).alias("rate"), F.sha2(s, 256).alias("payload"))
@@ -51,7 +53,7 @@ def bool_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", f"{s} AS s").select("event_id", text.parse_bool(F.col("s")).alias("flag"))
 
 
-@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents), k AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(s)), '[-.]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '^_+|_+$', '', 'g') AS k FROM m) SELECT doc_id, CASE WHEN k = '' THEN 'id' ELSE k END AS prefix FROM k")
+@query(f"WITH m AS (SELECT doc_id, {_MIXED} AS s FROM documents), k AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g')), '[-.]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '^_+|_+$', '', 'g') AS k FROM m) SELECT doc_id, CASE WHEN k = '' THEN 'id' ELSE k END AS prefix FROM k")
 def id_prefixes(spark, sf_dir):
     return _mixed(spark, sf_dir).select("doc_id", text.id_prefix(F.col("s")).alias("prefix"))
 
@@ -82,16 +84,15 @@ def ip_blocklist_v6(spark, sf_dir):
 
 _URL = "CASE page_id % 7 WHEN 0 THEN replace(url, 'https://', 'ftp://') WHEN 1 THEN replace(url, '.com/', '.com:8443/') WHEN 2 THEN concat('HTTP://user@', substring(url, 9)) ELSE url END"
 _PARTS = "regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?(?:[/?#]|$)', {})"
-_HOSTS = ("ththre.example.com", "thther.example.org", "m.ththth.example.net")
 _PORT = "CASE WHEN p <> '' THEN p WHEN s = 'http' THEN '80' WHEN s = 'https' THEN '443' ELSE '' END"
 _URLS = f"x AS (SELECT page_id, {_URL} AS u FROM pages), y AS (SELECT page_id, u, lower({_PARTS.format(1)}) AS s, lower({_PARTS.format(2)}) AS h, {_PARTS.format(3)} AS p FROM x)"
 
 
-@query(f"WITH {_URLS} SELECT page_id, h AS host, {_PORT} AS port, CASE WHEN s NOT IN ('http', 'https') THEN 'scheme' WHEN h = '' THEN 'missing_host' WHEN NOT (h LIKE '%.com' OR h IN {_HOSTS}) THEN NULL WHEN {_PORT} NOT IN ('80', '443') THEN 'port' END AS broken FROM y WHERE h LIKE '%.com'")
+@query(f"WITH {_URLS} SELECT page_id, h AS host, {_PORT} AS port, CASE WHEN s NOT IN ('http', 'https') THEN 'scheme' WHEN h = '' THEN 'missing_host' WHEN {_PORT} NOT IN ('80', '443') THEN 'port' END AS broken FROM y")
 def url_policy(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").selectExpr("page_id", f"{_URL} AS u")
     u = F.col("u")
-    return urls.where(net.host(u).like("%.com")).select("page_id", net.host(u).alias("host"), net.effective_port(u).alias("port"), net.url_policy(u, ports=("80", "443")).alias("broken"))
+    return urls.select("page_id", net.host(u).alias("host"), net.effective_port(u).alias("port"), net.url_policy(u, ports=("80", "443")).alias("broken"))
 
 
 @query(f"WITH {_URLS}, z AS (SELECT page_id, s, h, {_PORT} AS port FROM y) SELECT a.page_id, (a.s = b.s AND a.h = b.h AND a.port = b.port) AS same FROM z a JOIN z b ON b.page_id = a.page_id - a.page_id % 5")
@@ -143,16 +144,17 @@ def secret_like_values(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", f"{_VALUE} AS v").select("event_id", redact.secret_like(F.col("v")).alias("secret"))
 
 
-_LOG = "concat(CASE doc_id % 6 WHEN 0 THEN concat('Authorization uses Bearer abc.', CAST(doc_id AS STRING), '~x ') WHEN 1 THEN concat('GET /p?a=1&api_key=', CAST(doc_id AS STRING), '&b=2 ') WHEN 2 THEN concat('dsn https://user:pw', CAST(doc_id AS STRING), '@host/path ') WHEN 3 THEN 'plain ' ELSE '' END, substring(text, 1, 60))"
+_LOG = "concat(CASE doc_id % 6 WHEN 0 THEN concat('Authorization uses Bearer abc.', CAST(doc_id AS STRING), '~x ') WHEN 1 THEN concat('GET /p?a=1&api_key=', CAST(doc_id AS STRING), '&b=2 ') WHEN 2 THEN concat('dsn https://user:pw', CAST(doc_id AS STRING), '@host/path ') WHEN 3 THEN 'plain ' WHEN 4 THEN concat('my.api-key: \"k ', CAST(doc_id AS STRING), '\", tokens=3 ') ELSE '' END, coalesce(text, ''))"
 _M = redact.MASK
-_RE = "(?i)"
+_QUERY = "|".join(redact.QUERY_KEYS)
+_ASSIGNED = f"(?i)(^|[^0-9A-Za-z])((?:{redact.ASSIGNED_KEYS})[\"'']?[\\t ]*[:=][\\t ]*)(?:\"[^\"\\n]*\"|''[^''\\n]*''|[^\\t\\n\\r ,;&\"'']+)"
 
 
 @query(
-    f"WITH l AS (SELECT doc_id, {_LOG} AS s FROM documents WHERE NOT regexp_matches(substring(text, 1, 60), '[:=]')) SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)\\b(bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1{_M}', 'g'), '(?i)([?&;](?:{'|'.join(redact.QUERY_KEYS)})=)[^&\\s]+', '\\1{_M}', 'g'), '(?i)\\b([a-z][a-z0-9+.-]*://)[^/@\\s]+@', '\\1{_M}@', 'g') AS clean FROM l"
+    f"WITH l AS (SELECT doc_id, {_LOG} AS s FROM documents) SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\\b(bearer\\s+)[A-Za-z0-9._~+/=-]+', '\\1{_M}', 'g'), '(?i)([?&;](?:{_QUERY})=)[^&\\s]+', '\\1{_M}', 'g'), '(?i)\\b([a-z][a-z0-9+.-]*://)[^/@\\s]+@', '\\1{_M}@', 'g'), '{_ASSIGNED}', '\\1\\2{_M}', 'g') AS clean FROM l"
 )
 def redact_documents(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 60).rlike("[:=]")).selectExpr("doc_id", f"{_LOG} AS s")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_LOG} AS s")
     return rows.select("doc_id", redact.redact(F.col("s")).alias("clean"))
 
 

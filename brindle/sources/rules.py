@@ -118,7 +118,8 @@ def digest(rules: list[Rule], policy: Policy) -> str:
 
 
 _ALL = KINDS
-_GAP = r"\W+(?:\w+\W+){0,4}?"
+#: Up to four words; a sentence's end, which is masked with more marks, is no gap.
+_GAP = r"\W{1,12}(?:\w+\W{1,12}){0,4}?"
 #: The pack that comes with the library.
 RULES = [
     filled(r)

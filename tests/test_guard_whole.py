@@ -21,9 +21,9 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
     assert got == want and sum(v[0] > 0 for v in want.values()) == 5
     assert {r["family"]: r["n"] for r in catalogue.QUERIES["guard_family_rollup"](spark, str(tmp_path)).collect()} == families
     decisions = {r["doc_id"]: r["decision"] for r in catalogue.QUERIES["guard_decisions"](spark, str(tmp_path)).collect()}
-    assert decisions == {9: "block", 11: "block", 21: "allow", 23: "review"}
+    assert decisions == {9: "block", 10: "block", 11: "block", 12: "block", 21: "allow", 22: "allow", 23: "review"}
     enforced = {(r["enforcement"], r["decision"]): r["n"] for r in catalogue.QUERIES["guard_enforcement"](spark, str(tmp_path)).collect()}
-    assert enforced == {("observe", "block"): 1, ("persistent", "block"): 1, ("observe", "allow"): 1, ("persistent", "review"): 1}
+    assert enforced == {("observe", "block"): 2, ("interactive", "block"): 1, ("persistent", "block"): 1, ("observe", "allow"): 1, ("interactive", "allow"): 1, ("persistent", "review"): 1}
 
 
 def test_runs_are_found_as_by_the_plain_patterns():
