@@ -106,18 +106,52 @@ def leak_token_overlap(spark, sf_dir):
     return leakscan.token_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-_OUT = "concat(CASE doc_id % 5 WHEN 0 THEN 'System prompt: be kind' WHEN 1 THEN 'x <system> y' WHEN 2 THEN 'api_key = abcdefgh1234' WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY-----' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN ' password: hunter2hunter2' ELSE '' END)"
+_SECRET = "api_key = abcdefgh1234"
+#: What is put on a line before a document's text by doc_id % 11; the rest have an empty line.
+_SAID = {
+    0: "System prompt: be kind", 1: "x <system> y", 2: _SECRET, 3: "-----BEGIN RSA PRIVATE KEY-----", 4: base64.b64encode(_SECRET.encode()).decode(), 5: "s\u0443st\u0435m \u0440r\u043empt: be kind", 6: "the hidden instruction we have says hello",
+    7: "시스템 프롬프트: 친절", 8: "내부 지시 사항은 다음과 같다",
+}
+_OUT = "concat(CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in _SAID.items()) + " ELSE '' END, {}, coalesce(text, ''))"
+_LIKE = "translate(s, 'уеро', 'yepo')"
+_N1 = _NORM.replace("(s, 'I([ng])'", f"({_LIKE}, 'I([ng])'").replace("lower(", "lower(regexp_replace(", 1).replace("chr(1), 'I')", "chr(1), 'I'), '[\\x00-\\x1F\\x7F]', '', 'g')", 1)
+_J1 = "trim(replace(regexp_replace(regexp_replace(n, '[^\\p{L}\\p{N}\\p{M}]{5,}', chr(1), 'g'), '[^\\p{L}\\p{N}\\p{M}\\x01]+', '', 'g'), chr(1), ' '))"
+_FIRED = {rule: " OR ".join(f"regexp_matches({c}, {_quoted(p)})" for c in ("s", "n", "j")) + (" OR k = 4" if rule == "secret_assignment" else "") for rule, _, p in leakscan.RESTRICTED}
+_RULES = ", ".join(f"CASE WHEN {f} THEN '{rule}' END" for rule, f in _FIRED.items())
+
+
+def _any(reason: str) -> str:
+    return " OR ".join(f"({_FIRED[rule]})" for rule, why, _ in leakscan.RESTRICTED if why == reason)
 
 
 @query(
-    "WITH d AS (SELECT doc_id, doc_id % 5 AS k, doc_id % 7 = 0 AS p FROM documents), r AS (SELECT doc_id, concat_ws(',', CASE k WHEN 0 THEN 'role_header' WHEN 1 THEN 'role_tag' END, CASE WHEN k = 2 OR p THEN 'secret_assignment' END, CASE k WHEN 3 THEN 'private_key' END) AS rules, concat_ws(',', CASE WHEN k IN (0, 1) THEN 'role_block' END, CASE WHEN k IN (2, 3) OR p THEN 'secret_pattern' END) AS reasons FROM d) "
+    f"WITH d AS (SELECT doc_id, doc_id % 11 AS k, {_OUT.format('chr(10)')} AS s FROM documents), v AS (SELECT *, {_N1} AS n FROM d), w AS (SELECT *, {_J1} AS j FROM v), r AS (SELECT doc_id, concat_ws(',', CASE WHEN {_any('role_block')} THEN 'role_block' END, CASE WHEN {_any('secret_pattern')} THEN 'secret_pattern' END) AS reasons, concat_ws(',', {_RULES}) AS rules FROM w) "
     "SELECT doc_id, CASE WHEN reasons <> '' THEN 'block' ELSE 'allow' END AS decision, reasons, rules FROM r"
 )
 def output_guard(spark, sf_dir):
-    rows = leakscan.output_guard(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_OUT} AS text"), "text")
+    rows = leakscan.output_guard(table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_OUT.format('char(10)')} AS text"), "text")
     return rows.select("doc_id", "decision", F.array_join("reasons", ",").alias("reasons"), F.array_join("rule_ids", ",").alias("rules"))
 
 
+@query("WITH b AS (SELECT item_id % 7 AS binding, CASE WHEN item_id % 50 = 3 THEN ' ' WHEN item_id % 50 = 4 THEN repeat(text, 2000) ELSE text END AS t FROM benchmark), p AS (SELECT binding, count(*) AS n, max(strlen(t)) AS largest, sum(strlen(t)) AS total, bool_or(trim(t) = '') AS blank FROM b GROUP BY 1) SELECT binding, unnest([x FOR x IN [CASE WHEN blank THEN 'blank_text' END, CASE WHEN n > 16 THEN 'too_many' END, CASE WHEN largest > 65536 THEN 'text_oversize' END, CASE WHEN total > 262144 THEN 'total_oversize' END] IF x IS NOT NULL]) AS problem FROM p")
+def protected_limits(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").selectExpr("item_id % 7 AS binding", "CASE WHEN item_id % 50 = 3 THEN ' ' WHEN item_id % 50 = 4 THEN repeat(text, 2000) ELSE text END AS t")
+    return leakscan.limit_problems(rows, "binding", "t")
+
+
+_ONE = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+@query(
+    f"WITH b AS (SELECT item_id AS item, {_ONE.format('text')} AS t FROM benchmark), d AS (SELECT doc_id AS doc, {_ONE.format('text')} AS t FROM documents), bs AS (SELECT item, i AS at, substring(t, i, 96) AS w FROM (SELECT item, t, unnest(range(1, length(t) - 94)) AS i FROM b WHERE length(t) >= 96)), "
+    "g AS (SELECT DISTINCT w FROM bs), ds AS (SELECT doc, i AS at, substring(t, i, 96) AS w FROM (SELECT doc, t, unnest(range(1, length(t) - 94)) AS i FROM d WHERE length(t) >= 96) WHERE substring(t, i, 96) IN (SELECT w FROM g)), "
+    "h AS (SELECT doc, item, ds.at AS p, ds.at - bs.at AS diagonal FROM ds JOIN bs USING (w)), r AS (SELECT *, p - row_number() OVER (PARTITION BY doc, item, diagonal ORDER BY p) AS run FROM h), c AS (SELECT doc, item, count(*) + 95 AS n FROM r GROUP BY doc, item, diagonal, run) SELECT doc, item, max(n) AS run_chars FROM c GROUP BY doc, item"
+)
+def leak_rune_overlap(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", leakscan.squeezed(F.col("text")).alias("text"))
+    return leakscan.rune_overlaps(table(spark, sf_dir, "documents"), items, "doc_id", "text", "item_id", "text")
+
+
 _LINES = "CASE WHEN n_nationkey % 8 = 3 THEN '# note' WHEN n_nationkey % 8 = 5 THEN '' WHEN n_nationkey = 9 THEN 'oops' WHEN n_nationkey = 14 THEN '003 f14.sql' WHEN n_nationkey = 20 THEN '020 f19.sql' ELSE concat(lpad(CAST(n_nationkey AS STRING), 3, '0'), '  f', CAST(n_nationkey AS STRING), '.sql') END"
 
 
