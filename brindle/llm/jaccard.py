@@ -4,10 +4,11 @@
    class from here on.
 2. Sizes are banded.  Two sets within a band's reach that are alike differ in at most k
    elements, k known from the band.  Splitting all elements by hash into more than k parts
-   leaves a part in which they don't differ at all; so documents that share no part of
-   equal content need not be compared.  Shingles known to be common are left out of the
-   parts where enough others are left.  Sets that do share one are linked provisionally,
-   and connected provisional links give groups.
+   leaves a part in which they don't differ at all (of large sets, into fewer parts several
+   times; see scheme()); so documents that share no part of equal content need not be
+   compared.  Shingles known to be common are left out of the parts where enough others are
+   left.  Sets that do share one are linked provisionally, and connected provisional links
+   give groups.
 3. A group is compared in tiles of bounded size.  In a tile, members are in order of size;
    each meets only members whose size can reach the threshold and that aren't in its class
    yet.  A hashed bitmap of each set bounds the overlap from above by bit counts; pairs
@@ -22,7 +23,9 @@ it can't reach the threshold, or if its members are in one class already.
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .words import SPACED, blocks, hashed_words, mix
+from .words import SPACED, blocks, grouped, hashed_words, mix
 
 WORDS, SHARE = 4, 0.85
-#: Sets of a band: sizes from RATIO**i up to RATIO**(i+1).
-RATIO = 1.5
+#: Parts that two alike sets of a large band are expected to agree on.
+MEET = 40
 #: Words of a bitmap, 64 bits each.
 MAP = 8
 #: Bytes of text of a tile, about.
@@ -83,33 +86,72 @@ def most_apart(size: int, share: float = SHARE) -> int:
     return (size + size * den // num) * (den - num) // (den + num)
 
 
-def band(size: int) -> int:
-    i = int(math.log(size) / math.log(RATIO) + 1e-9)
-    while RATIO ** (i + 1) <= size:
+def band(size: int, share: float = SHARE) -> int:
+    """The number of a size's band; a set and a smaller one, alike, are of the same band or of neighbours."""
+    ratio = 1.02 / share
+    i = int(math.log(size) / math.log(ratio) + 1e-9)
+    while ratio ** (i + 1) <= size:
         i += 1
-    while RATIO**i > size:
+    while ratio**i > size:
         i -= 1
     return i
 
 
-def band_parts(i: int, share: float) -> tuple[int, int]:
-    """How many parts a band's scheme has, and how many of them two alike sets agree on at least."""
-    apart = most_apart(math.ceil(RATIO ** (i + 1)) - 1, share)
+def _top(i: int, share: float) -> int:
+    """The largest size of band i."""
+    return math.ceil((1.02 / share) ** (i + 1)) - 1
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How a band's sets are split: `rounds` times into `parts`, of which those of fewer than `least` elements aren't sent unless `spare` or more would be left out."""
+
+    parts: int
+    rounds: int
+    least: int
+    spare: int
+
+
+@functools.cache
+def scheme(i: int, share: float) -> Scheme:
+    """The scheme of band i.
+
+    Two alike sets of a small band differ in fewer elements than there are parts, and agree on
+    `spare` at least.  In a large band parts are fewer and larger, so that sets that share
+    some elements share no part, and elements are split several times: of all parts two alike
+    sets are expected to agree on MEET, of the sent ones on three quarters of that or more.
+    As elements are spread by their hashes, that none agrees has a chance below exp(-0.75 * MEET),
+    less than that of two hashes being equal.
+    """
+    top, apart = _top(i, share), most_apart(_top(i, share), share)
     spare = 3 + apart // 8
-    return apart + spare, spare
+    exact = Scheme(apart + spare, 1, 1, spare)
+    sent = top // 3
+    mean = top / max(apart, 1) * math.log(sent / MEET) if sent > MEET else 0.0
+    if mean < 1.4 * top / exact.parts:
+        return exact
+    parts = int(top / mean)
+    rounds = -(-sent // parts)
+    return Scheme(parts, rounds, 2 if mean < 8 else 3, parts * rounds // 4)
 
 
 def _parts(s: np.ndarray, i: int, share: float, name: int) -> tuple[np.ndarray, bool]:
-    """Signatures of the parts of elements s in band i's scheme that aren't empty (of all, if too many are), and whether few enough are empty."""
-    parts, agree = band_parts(i, share)
-    part = (mix(s, 100 + i) >> np.uint64(11)).astype(np.float64) * (parts / 2.0**53)
-    part = np.minimum(part.astype(np.int64), parts - 1)
-    content = np.zeros(parts, np.uint64)
-    np.add.at(content, part, mix(s, 21))
-    many = np.bincount(part, minlength=parts)
-    full = np.flatnonzero(many)
-    few = parts - len(full) < agree
-    sent = full if few or not name else np.arange(parts)
+    """Signatures of the parts of elements s in band i's scheme that are large enough (of all, if too many aren't), and whether few enough are left out."""
+    how = scheme(i, share)
+    part = np.empty((how.rounds, len(s)), np.int64)
+    for k in range(how.rounds):
+        at = (mix(s, 100 + i + 10_000 * k) >> np.uint64(11)).astype(np.float64) * (how.parts / 2.0**53)
+        part[k] = np.minimum(at.astype(np.int64), how.parts - 1) + k * how.parts
+    every = how.parts * how.rounds
+    many = np.bincount(part.ravel(), minlength=every)
+    # the parts' contents: sums, modulo 2**64, of their elements' hashes
+    order = np.argsort(part.ravel(), kind="stable")
+    total = np.concatenate(([np.uint64(0)], np.cumsum(np.tile(mix(s, 21), how.rounds)[order], dtype=np.uint64)))
+    ends = np.cumsum(many)
+    content = total[ends] - total[ends - many]
+    full = np.flatnonzero(many >= how.least)
+    few = every - len(full) < how.spare
+    sent = full if few or not name else np.arange(every)
     return mix(content[sent] ^ mix((many[sent].astype(np.uint64) << np.uint64(32)) | sent.astype(np.uint64), 2 * (200 + i) + name), 22), few
 
 
@@ -118,16 +160,16 @@ def signatures(s: np.ndarray, common: np.ndarray, share: float = SHARE) -> np.nd
 
     The parts are of its elements that aren't in `common`: alike sets differ in no more of
     these than of all, and parts of common elements only would meet many sets that aren't
-    alike.  Two alike sets agree on `agree` parts or more; unless as many are empty in both,
-    one that they agree on isn't.  Where that many are, parts of all elements are sent too.
+    alike.  Where too many of these parts are too small to be sent, parts of all elements are
+    sent too.
     """
     size = len(s)
     if most_apart(size, share) == 0:
         return np.zeros(0, np.uint64)
-    own = band(size)
+    own = band(size, share)
     num, den = _fraction(share)
     schemes = [own]
-    if own > 0 and (math.ceil(RATIO**own) - 1) * den >= size * num:
+    if own > 0 and _top(own - 1, share) * den >= size * num:
         schemes.append(own - 1)
     rare = s
     if len(common):
@@ -264,26 +306,34 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("node"), "root")
 
 
+def _same(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each signature, and the pairs (set of that row, other set) of the other rows."""
+    order, begin = grouped(sig)
+    lead = np.repeat(own[order[begin]], np.diff(np.append(begin, len(sig))))
+    rest = own[order]
+    apart = lead != rest
+    pairs = np.unique(np.stack([lead[apart], rest[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+    return order[begin], pairs
+
+
 def _edges_of(batches):
-    """Provisional links of a bucket's (signature, set) rows: for each set one to the least of its connected sets here."""
-    sig, own = [], []
+    """Provisional links of a bucket's rows (signatures with their sets, and pairs linked before): for each set one to the least of its connected sets here."""
+    sig, own, links = [], [], []
     for batch in batches:
         for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            sig.append(np.frombuffer(a, np.uint64))
-            own.append(np.frombuffer(b, np.int64))
-    if not sig:
-        return
-    sig, own = np.concatenate(sig), np.concatenate(own)
-    order = np.lexsort((own, sig))
-    sig, own = sig[order], own[order]
-    same = np.flatnonzero((sig[1:] == sig[:-1]) & (own[1:] != own[:-1]))
-    if len(same) == 0:
+            if a:
+                sig.append(np.frombuffer(a, np.uint64))
+                own.append(np.frombuffer(b, np.int64))
+            else:
+                links.append(np.frombuffer(b, np.int64).reshape(-1, 2))
+    if sig:
+        links.append(_same(np.concatenate(sig), np.concatenate(own))[1])
+        del sig, own
+    if not links or not sum(map(len, links)):
         return
-    pairs = np.unique(np.stack([own[same], own[same + 1]], axis=1), axis=0)
-    nodes, flat = np.unique(pairs.ravel(), return_inverse=True)
-    flat = flat.reshape(-1, 2).tolist()
+    nodes, flat = np.unique(np.concatenate(links).ravel(), return_inverse=True)
     found = Classes(len(nodes))
-    for a, b in flat:
+    for a, b in flat.reshape(-1, 2).tolist():
         found.join(a, b)
     root = np.array([found.root(k) for k in range(len(nodes))])
     keep = root != np.arange(len(nodes))
@@ -320,8 +370,8 @@ def _tiles(share: float, words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, tile_bytes: int = TILE_BYTES, buckets: int | None = None) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE, tile_bytes: int = TILE_BYTES, buckets: int | None = None, with_hash: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included), then text_hash (xxhash64 of the text) and class_hash (of the component) if with_hash, which tell rows of one id apart.
 
     Two documents link if their sets of distinct `words`-word shingles of lower-cased words
     have an intersection of at least `share` of their union.  A text of fewer words is one
@@ -330,7 +380,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id keep it null and are left out of comparing.  Other columns are left aside; an empty
     table gives an empty result.
     """
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = buckets or max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
@@ -338,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def measure(batches):
         for batch in blocks(batches, "text"):
             sets = batch_shingles(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "n", "sid"])
 
     common = spark.sparkContext.broadcast(common_shingles(wanted, words))
 
@@ -354,18 +404,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not sig:
                 continue
             sig, own = np.concatenate(sig), np.concatenate(own)
+            # of a signature that several sets here have, one stands for all: a bucket gets it once a block, however common it is
+            first, pairs = _same(sig, own)
+            sig, own = sig[first], own[first]
             at = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(at, kind="stable")
             edges = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            rows = np.flatnonzero(np.diff(edges)).tolist()
+            sent = [[x[order[edges[b] : edges[b + 1]]].tobytes() for b in rows] for x in (sig, own)]
+            if len(pairs):
+                rows.append(int(pairs[0, 0] % buckets))
+                sent[0].append(b"")
+                sent[1].append(np.ascontiguousarray(pairs).tobytes())
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int32()), *[pa.array([x[order[edges[b] : edges[b + 1]]].tobytes() for b in rows], pa.binary()) for x in (sig, own)]], names=["bucket", "sig", "own"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(x, pa.binary()) for x in sent]], names=["bucket", "sig", "own"])
 
-    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, n bigint, sid bigint"))
-    parts = wanted.where("doc_id IS NOT NULL").mapInArrow(sign, "bucket int, sig binary, own binary")
-    provisional = cut(parts.repartition(buckets, "bucket").mapInArrow(_edges_of, "a bigint, b bigint"))
+    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, text_hash bigint, n bigint, sid bigint"))
+    parts = wanted.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "bucket int, sig binary, own binary")
+    provisional = cut(parts.repartitionById(buckets, "bucket").mapInArrow(_edges_of, "a bigint, b bigint"))
     # groups and their tiles
     grouped = components(provisional).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
     grouped = grouped.union(grouped.select(F.col("grp").alias("sid"), "grp")).distinct()
@@ -409,7 +465,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = cut(linked(again))
         links = cut(links.union(more))
     roots = components(links)
-    known = measured.join(roots, measured["sid"] == roots["node"], "left").select("doc_id", "n", "sid", F.coalesce("root", "sid").alias("root"))
+    known = measured.join(roots, measured["sid"] == roots["node"], "left").select("doc_id", "text_hash", "n", "sid", F.coalesce("root", "sid").alias("root"))
     per_root = known.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r_root")
     out = known.join(per_root, (known["root"] == per_root["r_root"]) & (known["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), *(["text_hash", F.col("root").alias("class_hash")] if with_hash else []))

@@ -15,12 +15,14 @@ from . import pii as op2
 from . import quality as op4
 from . import rules as op7
 from . import tokens as op6
+from .storage import small_batches
 
 #: Of the tokenizer byte_bpe_50k.json.
 VOCABULARY = 50257
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -51,7 +53,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5.line_drops(_read(spark, sf_dir, "documents"))
+    found = op5.line_drops(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_units", "n_exact", "n_near", op5.dropped(F.col("gone")).alias("dropped"))
 
 
 def tokenizer_path() -> str:
@@ -70,7 +73,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op8.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.drop("items")
+    near = F.sha2(F.concat_ws(",", "near").cast("binary"), 256).alias("near_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", near)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

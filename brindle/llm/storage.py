@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the Arrow batches that Python workers get to `most` bytes, where the session has a larger bound: a batch is held in whole on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) > most:
+        spark.conf.set(name, str(most))
+
+
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

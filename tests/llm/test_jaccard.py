@@ -127,3 +127,27 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r["node"]: r["root"] for r in jc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(n, n) == root(n) for n in list(up))
+
+
+def test_large_sets_always_meet():
+    """Alike sets of large bands share a part, at the threshold too, with common elements left out and without."""
+    r = np.random.default_rng(2)
+    for share in (0.8, 0.85):
+        for n in (300, 420, 700, 1500, 6000):
+            for k in range(6):
+                base = r.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+                gone = int(n * (1 - share) / (1 + share))  # as many are replaced
+                a, b = np.sort(base[:n]), np.sort(np.concatenate((base[gone:n], base[n : n + gone])))
+                if k % 2:  # a subset as small as can be
+                    b = a[np.sort(r.choice(n, -(-int(n * share * 10000) // 10000) + 1, replace=False))]
+                common = np.sort(base[: n // 2]) if k % 3 == 0 else np.zeros(0, np.uint64)
+                assert len(np.intersect1d(a, b)) >= share * len(np.union1d(a, b)) - 1e-9
+                assert len(np.intersect1d(jc.signatures(a, common, share), jc.signatures(b, common, share)))
+
+
+def test_few_common_elements_of_large_sets_do_not_meet():
+    r = np.random.default_rng(3)
+    shared = r.integers(0, 1 << 63, 600, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((shared, r.integers(0, 1 << 63, 5400, dtype=np.uint64)))) for _ in range(12)]
+    sent = [jc.signatures(s, np.zeros(0, np.uint64), 0.8) for s in sets]
+    assert sum(len(np.intersect1d(a, b)) > 0 for k, a in enumerate(sent) for b in sent[:k]) <= 6
