@@ -1,18 +1,23 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A unit is a line's words, lower-cased, in pieces of at most PIECE words.  A unit goes if an
-earlier one (by document id, line and piece) is the same or one word edit away: a word
-changed, added or left out.  The steps:
+A unit is a line's words, lower-cased, however many they are.  A unit goes if an earlier one
+(by document id and line) is the same, or is one word edit away (a word changed, added or
+left out) where both have `least` words or more: in a shorter line one word is too much of
+it.  The steps:
 
 1. Each unit is reduced to hashes; equal units are one from here on, at the earliest.
 2. Of two units one edit apart, one half is equal, so units that share no half with another
    need no variants; this only saves work.
 3. Each other unit emits all its variants within the bound, itself and itself without one
-   word, as hashed keys.  Equal keys that leave out the same place are one change apart;
-   a key of a whole unit equal to one with a word left out, one addition apart.
+   word, as hashed keys.  A key is the exclusive or of its words' hashes with their places;
+   leaving out a word moves those behind it one place down, so that all keys of a unit come
+   from one running exclusive or, at a constant cost each.  Equal keys that leave out the
+   same place are one change apart; a key of a whole unit equal to one with a word left out,
+   one addition apart.
 4. Keys are reduced to the earliest unit of each, which is all that later units need; so a
    key of any number of units makes as many rows, never pairs.
-5. Each pair of a unit and an earlier one found so is verified by comparing their words.
+5. Each pair of a unit and an earlier one found so is verified by comparing their words
+   before and behind the place of the edit.
 """
 
 from __future__ import annotations
@@ -22,126 +27,159 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-PIECE, LEAST = 128, 4
-#: Rows up to which a table of ids and hashes is broadcast; beyond, it is shuffled.
-SMALL = 500_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST = 4
+#: Bytes (by rows and the numbers they hold) up to which a table of ids and hashes is broadcast; beyond, it is shuffled.
+SMALL_BYTES = 32 << 20
+#: A line is common if one in so many of all lines is it; so there are at most so many common lines.
+COMMON = 50_000
+_BLOCK = 32
 
 
-def _units(docs: DataFrame, piece: int) -> DataFrame:
-    """(doc_id, line, piece, w): the words of each unit; a document without words has one row of nulls."""
-    words = F.transform(F.split(F.translate("text", _UPPER, _LOWER), "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+def normal(text: Column) -> Column:
+    """Lower-cased, with one space for each run of white space but line ends."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.when(odd, F.regexp_replace(low, r"[ \t\r\x0B\f]+", " ")).otherwise(low)
 
-    def pieces(w: Column, j: Column) -> Column:
-        last = F.floor((F.size(w) - 1) / piece).cast("int")
-        one = lambda i: F.struct(j.alias("line"), i.alias("piece"), F.slice(w, i * piece + 1, F.lit(piece)).alias("w"))
-        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)).otherwise(F.array().cast("array<struct<line:int,piece:int,w:array<string>>>"))
 
-    lined = docs.withColumn("_w", words)
-    return lined.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")], F.explode_outer(F.flatten(F.transform("_w", pieces))).alias("u")).select(
-        "doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")], "u.line", "u.piece", "u.w"
-    )
+def _units(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, line, x): the words of each line that has some, with a space between; a document without words has one row of nulls."""
+    lines = F.transform(F.split(normal(F.col("text")), "\n", -1), lambda x, j: F.struct(j.alias("line"), F.trim(x).alias("x")))
+    return docs.select("doc_id", *more, F.explode_outer(F.filter(lines, lambda u: u["x"] != "")).alias("u")).select("doc_id", *more, "u.line", "u.x")
 
 
-def _place() -> Column:
-    """A unit's place among all, as one number."""
-    ten = lambda k: F.lit("1" + "0" * k).cast("decimal(20,0)")
-    return (F.col("doc_id").cast("decimal(19,0)") * ten(15) + F.col("line").cast("decimal(10,0)") * ten(6) + F.col("piece").cast("decimal(10,0)")).cast("decimal(38,0)")
-
+def _count(x: Column) -> Column:
+    """Words of a unit."""
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
 
-def _without(w: Column, i: Column) -> Column:
-    """Words without the i-th (from 1); all if i is 0."""
-    return F.when(i == 0, w).otherwise(F.concat(F.slice(w, F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0)))))
 
+def _first(x: Column, n: Column) -> Column:
+    return F.call_function("substring_index", x, F.lit(" "), n.cast("int"))
 
-def _maybe_small(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has at most SMALL rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
+def _last(x: Column, n: Column) -> Column:
+    return F.call_function("substring_index", x, F.lit(" "), -n.cast("int"))
 
-def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, piece: int = PIECE) -> DataFrame:
-    """One row a document: doc_id, n_units, n_exact, n_near, dropped (line.piece of each unit that goes, in order, comma-joined).
 
-    Units of fewer than `least` words never go.  Null and wordless texts have no units.
-    Rows that repeat an id are one document; rows with a null id are one document whose
-    units neither go nor make others go.  Other columns are left aside; an empty table gives
-    an empty result.
+def _place() -> Column:
+    """A unit's place among all, as one number."""
+    return (F.col("doc_id").cast("decimal(19,0)") * F.lit("10000000000").cast("decimal(11,0)") + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def _maybe_small(df: DataFrame, numbers: Column) -> DataFrame:
+    """df to be broadcast if its rows, of `numbers` numbers each, have at most SMALL_BYTES."""
+    held = df.agg(F.sum(16 + 8 * numbers)).first()[0] or 0
+    return F.broadcast(df) if held <= SMALL_BYTES else df
+
+
+def _running_xor(df: DataFrame, name: str) -> DataFrame:
+    """Replaces an array of numbers by the exclusive or of those before each, in blocks so that long arrays stay cheap."""
+    n = F.size(name)
+    block = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+    zero = F.lit(0).cast("long")
+    df = df.withColumn("_b", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(F.col(name), b * block + 1, block)))
+    grow = lambda a, v: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(v)))
+    total = F.transform("_b", lambda x: F.aggregate(x, zero, lambda a, v: a.bitwiseXOR(v)))
+    df = df.withColumn("_t", F.aggregate(total, F.array(zero), grow))
+    inner = F.zip_with("_b", F.slice("_t", F.lit(1), F.size("_b")), lambda x, t: F.slice(F.aggregate(x, F.array(t), grow), F.lit(1), F.size(x)))
+    return df.withColumn(name, F.flatten(inner)).drop("_b", "_t")
+
+
+def variants(units: DataFrame) -> DataFrame:
+    """Adds keys to units with x: that of all words, then that without each word in turn."""
+    df = units.withColumn("_w", F.split("x", " ", -1))
+    df = df.withColumn("_down", F.transform("_w", lambda w, i: F.xxhash64(w, i - 1)))
+    df = df.withColumn("_move", F.zip_with("_down", F.transform("_w", lambda w, i: F.xxhash64(w, i)), lambda a, b: a.bitwiseXOR(b)))
+    every = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+    df = df.withColumn("_behind", every(F.col("_down"))).withColumn("_whole", every(F.col("_move")).bitwiseXOR(F.col("_behind")))
+    df = _running_xor(df, "_move")
+    left = F.zip_with("_move", "_down", lambda a, b: a.bitwiseXOR(b).bitwiseXOR(F.col("_behind")))
+    return df.withColumn("keys", F.concat(F.array("_whole"), left)).drop("_w", "_down", "_move", "_behind", "_whole")
+
+
+def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """One row a document: doc_id, n_units, n_exact, n_near, gone (array of line and its hash, of each unit that goes, in order).
+
+    Units of fewer than `least` words go only if an earlier one is the same.  Null and
+    wordless texts have no units.  Rows that repeat an id are one document, whose lines of
+    the same number are at one place, so don't make each other go; rows with a null id are
+    one document whose units neither go nor make others go.  Other columns are left aside; an
+    empty table gives an empty result.
     """
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n, m = F.size("w"), F.floor(F.size("w") / 2).cast("int")
-    m1 = F.floor((n - 1) / 2).cast("int")
-    rest = n - 1 - m1
-    halves = F.array(
-        F.xxhash64(n, F.lit(0), F.slice("w", F.lit(1), m)), F.xxhash64(n, F.lit(1), F.slice("w", m + 1, n - m)),
-        F.xxhash64(n - 1, F.lit(0), F.slice("w", F.lit(1), F.greatest(m1, F.lit(0)))), F.xxhash64(n - 1, F.lit(1), F.slice("w", F.greatest(n - rest + 1, F.lit(1)), F.greatest(rest, F.lit(0)))),
-    )
-    long_enough = n >= least
-    units = cut(_units(wanted, piece).select("doc_id", "line", "piece", F.when(long_enough, F.xxhash64("w")).alias("h"), F.when(long_enough, halves).alias("halves")))
-    placed = units.where("h IS NOT NULL AND doc_id IS NOT NULL").withColumn("place", _place())
+    x, n = F.col("x"), F.col("n")
+    half, half1 = F.floor(n / 2), F.floor((n - 1) / 2)
+    counted = _units(wanted).where("doc_id IS NOT NULL AND x IS NOT NULL").withColumn("n", _count(x))
+    halves = (F.xxhash64(n, F.lit(0), _first(x, half)), F.xxhash64(n, F.lit(1), _last(x, n - half)), F.xxhash64(n - 1, F.lit(0), _first(x, half1)), F.xxhash64(n - 1, F.lit(1), _last(x, n - 1 - half1)))
+    hashed = counted.select(F.xxhash64("x").alias("h"), _place().alias("place"), *[F.when(n >= least, c).alias(f"half{k}") for k, c in enumerate(halves)])
     # 1: equal units, at the earliest
-    first = cut(placed.groupBy("h").agg(F.min("place").alias("place")))
-    halves_of = placed.join(first.withColumnRenamed("h", "f_h").withColumnRenamed("place", "f_place"), (F.col("h") == F.col("f_h")) & (F.col("place") == F.col("f_place"))).select("h", "doc_id", "line", "piece", "place", "halves")
+    first = cut(hashed.groupBy("h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), *[F.min(f"half{k}").alias(f"half{k}") for k in range(4)]))
     # 2: units that share a half with another
-    keyed = halves_of.select("h", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("half").alias("s_half"))
-    partners = keyed.join(shared, F.col("half") == F.col("s_half"), "left_semi").select("h").distinct()
-    chosen = cut(halves_of.join(partners, "h", "left_semi").select("h", "doc_id", "line", "piece", "place"))
-    per_doc = chosen.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_set(F.col("h")).alias("hs"))
-    texts = wanted.join(_maybe_small(per_doc), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "hs")
-    again = _units(texts, piece).where((F.size("w") >= least) & F.array_contains("hs", F.xxhash64("w"))).withColumn("h", F.xxhash64("w")).withColumn("place", _place())
+    keyed = first.where("half0 IS NOT NULL").select("h", "place", F.explode(F.array(*[f"half{k}" for k in range(4)])).alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+    chosen = cut(keyed.join(shared, "half", "left_semi").groupBy("h").agg(F.min("place").alias("place")))
+    ten = F.lit("10000000000").cast("decimal(11,0)")
+    per_doc = chosen.groupBy(F.floor(F.col("place") / ten).cast("long").alias("c_id")).agg(F.collect_set("h").alias("hs"))
+    texts = wanted.join(_maybe_small(per_doc, F.size("hs")), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "hs")
+    again = _units(texts, "hs").withColumn("h", F.xxhash64("x")).where(F.array_contains("hs", F.col("h"))).select("h", "x", _place().alias("place"))
+    # 3: variants; a unit is taken at its own place only
     again = again.join(chosen.select(F.col("h").alias("c_h"), F.col("place").alias("c_place")), (F.col("h") == F.col("c_h")) & (F.col("place") == F.col("c_place")), "left_semi")
-    # 3: variants, computed once
-    keys = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.xxhash64(_without(F.col("w"), i)))
-    again = cut(again.groupBy("h", "place").agg(F.first("w").alias("w")).withColumn("keys", keys))
-    variants = again.select("h", "place", F.posexplode("keys").alias("i", "key"))
+    again = again.groupBy("h", "place").agg(F.min("x").alias("x"))
+    again = cut(again)
+    emitted = cut(variants(again).select("h", "place", F.posexplode("keys").alias("i", "key")))
     # 4: the earliest of each
-    earliest = variants.groupBy("key", "i").agg(F.min("place").alias("m"), F.count(F.lit(1)).alias("c"))
-    whole, part = F.when(F.col("i") == 0, F.col("m")), F.when(F.col("i") > 0, F.col("m"))
-    per_key = cut(earliest.groupBy("key").agg(F.min(whole).alias("whole"), F.min(part).alias("part"), F.sum("c").alias("c"), F.collect_list(F.struct("i", "m")).alias("all")).where("c > 1"))
-    bounds = per_key.select("key", "whole", "part", F.explode("all").alias("a")).select(F.col("key").alias("b_key"), F.col("a.i").alias("b_i"), F.col("a.m").alias("m"), "whole", "part")
-    # earlier units that a unit may be one edit from: of the same place left out, or the whole, or for a whole the earliest part
-    bounds = bounds.withColumn("before", F.array_compact(F.when(F.col("b_i") == 0, F.array("part")).otherwise(F.array("m", "whole"))))
-    pairs = variants.join(_maybe_small(bounds.select("b_key", "b_i", "before")), (F.col("key") == F.col("b_key")) & (F.col("i") == F.col("b_i")))
-    pairs = pairs.select("h", "place", F.explode("before").alias("e_place")).where("e_place < place").distinct()
+    earliest = emitted.groupBy("key", "i").agg(F.min("place").alias("m"), F.count(F.lit(1)).alias("c"))
+    whole, part = F.when(F.col("i") == 0, F.col("m")), F.when(F.col("i") > 0, F.struct("m", "i"))
+    per_key = earliest.groupBy("key").agg(F.min(whole).alias("whole"), F.min(part).alias("part"), F.sum("c").alias("c"), F.collect_list(F.struct("i", "m")).alias("all")).where("c > 1")
+    bounds = cut(per_key.select(F.col("key").alias("b_key"), "whole", "part", F.explode("all").alias("a")).select("b_key", F.col("a.i").alias("b_i"), F.col("a.m").alias("m"), "whole", "part"))
+    # earlier units that a unit may be one edit from, and the place of the edit: of the same place left out, or the whole, or for a whole the earliest part
+    found = lambda e, at, kind: F.struct(e.alias("e_place"), at.cast("int").alias("at"), F.lit(kind).alias("kind"))
+    b_i = F.col("b_i")
+    before = F.when(b_i == 0, F.array(found(F.col("part.m"), F.col("part.i"), 1))).otherwise(F.array(found(F.col("m"), b_i, 0), found(F.col("whole"), b_i, -1)))
+    bounds = bounds.select("b_key", "b_i", F.filter(before, lambda e: e["e_place"].isNotNull()).alias("before"))
+    pairs = emitted.join(_maybe_small(bounds, 2 + 4 * F.size("before")), (F.col("key") == F.col("b_key")) & (F.col("i") == F.col("b_i")))
+    pairs = pairs.select("h", "place", F.explode("before").alias("e")).where("e.e_place < place").groupBy("h", F.col("e.e_place").alias("e_place"), F.col("e.kind").alias("kind")).agg(F.min("e.at").alias("at"))
     # 5: verify
-    one, two = again.select("h", "w"), again.select(F.col("place").alias("p_place"), F.col("w").alias("e_w"))
+    one, two = again.select("h", "x"), again.select(F.col("place").alias("p_place"), F.col("x").alias("e_x"))
     both = pairs.join(one, "h").join(two, F.col("e_place") == F.col("p_place"))
-    near = both.where(one_edit(F.col("w"), F.col("e_w"))).select(F.col("h").alias("n_h")).distinct()
+    near = both.where(one_edit(F.col("x"), F.col("e_x"), F.col("at"), F.col("kind"))).select(F.col("h").alias("n_h")).distinct()
     # what goes
-    judged = first.withColumnRenamed("place", "f_place").withColumnRenamed("h", "f_h").join(near, F.col("f_h") == F.col("n_h"), "left").select("f_h", "f_place", F.col("n_h").isNotNull().alias("near"))
-    rows = units.withColumn("place", F.when(F.col("doc_id").isNotNull(), _place())).join(judged, F.col("h") == F.col("f_h"), "left")
-    exact = F.coalesce((F.col("place") != F.col("f_place")), F.lit(False))
-    close = F.coalesce(F.col("near") & F.col("place").isNotNull(), F.lit(False)) & ~exact
-    gone = F.when(exact | close, F.struct("line", "piece"))
-    listed = F.transform(F.array_sort(F.collect_set(gone)), lambda s: F.concat_ws(".", s["line"].cast("string"), s["piece"].cast("string")))
-    return rows.groupBy("doc_id").agg(
-        F.count("line").alias("n_units"), F.count_if(exact).alias("n_exact"), F.count_if(close).alias("n_near"), F.concat_ws(",", listed).alias("dropped")
-    )
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words are one change, addition or omission apart, or equal."""
-    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    # length of the common start: the first place that differs
-    same = F.size(short)
-    places = F.sequence(F.lit(1), F.greatest(same, F.lit(1)))
-    at = F.coalesce(F.try_element_at(F.filter(places, lambda i: F.coalesce(F.try_element_at(short, i) != F.try_element_at(long_, i), F.lit(True))), F.lit(1)), same + 1)
-    tail = lambda w, i: F.slice(w, i, F.greatest(F.size(w) - i + 1, F.lit(0)))
-    apart = F.size(long_) - same
-    return F.when(apart == 0, tail(short, at + 1) == tail(long_, at + 1)).when(apart == 1, tail(short, at) == tail(long_, at + 1)).otherwise(F.lit(False))
-
-
-def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
-    """docs with the units of line_drops taken out of their texts; whole lines go with their line end, pieces of long lines leave the rest."""
-    gone = drops.where("dropped <> ''").select(F.col("doc_id").alias("_drop_id"), F.split("dropped", ",").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_drop_id"), "left")
-
-    def kept(line: Column, j: Column) -> Column:
-        words = F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-        last = F.greatest(F.floor((F.size(words) - 1) / piece).cast("int"), F.lit(0))
-        left = F.filter(F.sequence(F.lit(0), last), lambda i: ~F.array_contains("_gone", F.concat_ws(".", j.cast("string"), i.cast("string"))))
-        some = F.concat_ws(" ", F.flatten(F.transform(left, lambda i: F.slice(words, i * piece + 1, F.lit(piece)))))
-        return F.when(F.size(left) == last + 1, line).when(F.size(left) > 0, some)
-
-    text = F.array_join(F.array_compact(F.transform(F.split(F.col(text_col), "\n", -1), kept)), "\n")
+    judged = cut(first.join(near, F.col("h") == F.col("n_h"), "left").select(F.col("h").alias("f_h"), F.col("place").alias("f_place"), "c", F.col("n_h").isNotNull().alias("near")))
+    # common lines are few, and are looked up apart, so that no task gets all rows of one
+    total = judged.agg(F.sum("c")).first()[0] or 0
+    common = judged.where(F.col("c") > max(100, total // COMMON)).select(F.col("f_h").alias("o_h"), F.col("f_place").alias("o_place"), F.col("near").alias("o_near"))
+    rows = _units(wanted).select("doc_id", "line", F.when(F.col("x").isNotNull(), F.xxhash64("x")).alias("h"), F.when(F.col("doc_id").isNotNull(), _place()).alias("place"))
+    rows = rows.join(F.broadcast(common), F.col("h") == F.col("o_h"), "left")
+    rows = rows.withColumn("r_h", F.when(F.col("o_h").isNull(), F.col("h")))
+    rows = rows.join(judged.where(F.col("c") <= max(100, total // COMMON)), F.col("r_h") == F.col("f_h"), "left")
+    own_first, own_near = F.coalesce("f_place", "o_place"), F.coalesce("near", "o_near")
+    exact = F.coalesce(F.col("place") != own_first, F.lit(False))
+    close = F.coalesce(own_near & F.col("place").isNotNull(), F.lit(False)) & ~exact
+    gone = F.when(exact | close, F.struct("line", "h"))
+    return rows.groupBy("doc_id").agg(F.count("line").alias("n_units"), F.count_if(exact).alias("n_exact"), F.count_if(close).alias("n_near"), F.array_sort(F.collect_set(gone)).alias("gone"))
+
+
+def one_edit(a: Column, b: Column, at: Column, kind: Column) -> Column:
+    """Whether units are equal but for one word: kind 0: the word at `at` changed; 1: b has a word more there; -1: a has."""
+    n, m = _count(a), _count(b)
+    around = lambda k: (_first(a, at - 1) == _first(b, at - 1)) & (_last(a, k - at) == _last(b, k - at))
+    return F.when(kind == 0, (n == m) & around(n)).when(kind == 1, (m == n + 1) & around(m)).otherwise((n == m + 1) & around(n))
+
+
+def dropped(gone: Column) -> Column:
+    """The numbers of the lines that go, comma-joined."""
+    return F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(gone, lambda g: g["line"]))).cast("array<string>"))
+
+
+def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the units of line_drops taken out of their texts, each with its line end.
+
+    A line goes if its number and its words are listed for its id, so rows that repeat an id
+    lose only what was found in them; rows of null id, and null texts, stay as they are.
+    """
+    listed = drops.where(F.size("gone") > 0).select(F.col("doc_id").alias("_drop_id"), F.col("gone").alias("_gone"))
+    joined = docs.join(listed, F.col(id_col).cast("long") == F.col("_drop_id"), "left")
+    lines, words = F.split(F.col(text_col), "\n", -1), F.split(normal(F.col(text_col)), "\n", -1)
+    kept = F.zip_with(F.transform(lines, lambda x, j: F.struct(x.alias("x"), j.alias("line"))), words, lambda l, w: F.when(~F.array_contains("_gone", F.struct(l["line"].alias("line"), F.xxhash64(F.trim(w)).alias("h"))), l["x"]))
+    text = F.array_join(F.array_compact(kept), "\n")
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text)).drop("_drop_id", "_gone")

@@ -17,6 +17,8 @@ shuffles.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +33,16 @@ _START, _END = np.uint64(0x5EED0001), np.uint64(0x5EED0002)
 _ROW = "dest int, chunk bigint, bucket int, keys binary, counts binary, types bigint, tokens bigint"
 
 
-def key_bits(size: int) -> int:
-    """Bits of an n-gram's key for an input of `size` bytes: few enough n-grams share one (fewer than one in ten thousand)."""
-    return 48 if size < 100 << 30 else 56 if size < 25 << 40 else 64
+#: Bits of the key of a single word and of a longer n-gram, at every size of input.  Words whose
+#: counts are reported have all 64; of 10**12 longer n-grams one in 70,000 shares its key.
+WORD_BITS, GRAM_BITS = 64, 56
+#: Most buckets of single words: their sums go to all chunks, so there must be no more of them as the input grows.
+WORD_BUCKETS = 4096
+
+
+def bits_of(k: int) -> int:
+    """Bits of the key of an n-gram of k words."""
+    return WORD_BITS if k == 1 else GRAM_BITS
 
 
 def squeezed(keys: np.ndarray, bits: int) -> bytes:
@@ -75,15 +84,14 @@ def stream(column) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def ngrams(tokens: np.ndarray, at: np.ndarray, order: int, bits: int):
+def ngrams(tokens: np.ndarray, at: np.ndarray, order: int):
     """For k = 1..order in turn: the key of the k-gram that ends at each position, and where there is one.  A start mark is a 1-gram."""
     position = np.arange(len(tokens), dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
-    down = np.uint64(64 - bits)
     g = mix(tokens, 1)
     for k in range(1, order + 1):
         if k > 1:
             g[1:] = mix(g[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ tokens[1:], k)
-        yield g >> down, position >= k - 1
+        yield g >> np.uint64(64 - bits_of(k)), position >= k - 1
 
 
 def distinct(keys: np.ndarray, there: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,28 +190,43 @@ def _texts(batches):
         yield _row_batch([(0, chunk, -1, _encoded(table), b"", 0, 0)])
 
 
-def _ask(buckets: int, order: int, bits: int):
-    """For each chunk and bucket the distinct n-grams that the bucket owns, order by order, with their counts in what is learned."""
-    edges = edges_of(buckets, bits)[:-1]
+def _places(known: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where each bucket's keys begin among sorted ones (one more than buckets)."""
+    return np.append(np.searchsorted(known, edges), len(known))
+
+
+def _buckets_of(buckets: int, order: int) -> list[tuple[int, np.ndarray]]:
+    """For k = 1..order in turn: how many buckets own the k-grams, and the buckets' first keys."""
+    out = []
+    for k in range(1, order + 1):
+        n = min(buckets, WORD_BUCKETS) if k == 1 else buckets
+        out.append((n, edges_of(n, bits_of(k))[:-1]))
+    return out
+
+
+def _ask(buckets: int, order: int):
+    """For each chunk and bucket the distinct n-grams that the bucket owns, order by order, with their counts in what is learned.
+
+    Buckets of single words get a row of every chunk, for they answer with what all words sum
+    to; others only if there is something to ask, so there are no more rows than n-grams.
+    """
+    split = _buckets_of(buckets, order)
 
     def run(batches):
         for chunk, table in _chunks(batches):
             tokens, at = stream(table.column("text"))
             starts = at[:-1]
             learn = np.repeat(table.column("learn").to_numpy(zero_copy_only=False), np.diff(at))
-            asked = []
-            for k, (keys, there) in enumerate(ngrams(tokens, at, order, bits)):
+            for k, (keys, there) in enumerate(ngrams(tokens, at, order)):
+                bits, edges = bits_of(k + 1), split[k][1]
                 known, places, begin = distinct(keys, there, bits)
-                many = np.add.reduceat(learn[places].astype(np.int64), begin)
-                asked.append((known, many, np.append(np.searchsorted(known, edges), len(known))))
-                if k == 0:
-                    start_key = keys[starts[0]]
-            del tokens, learn, keys, there, places, begin
-            for b in range(buckets):
-                own = [slice(cut[b], cut[b + 1]) for _, _, cut in asked]
-                for k, ((known, many, _), s) in enumerate(zip(asked, own)):
-                    # the start mark's key goes along, for it isn't a word
-                    yield _row_batch([(b, chunk, b * order + k, squeezed(known[s], bits), narrow(many[s]), int(start_key.astype(np.int64)) if k == 0 else 0, 0)])
+                many = np.add.reduceat(learn[places].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+                cut_at = _places(known, edges)
+                # the start mark's key goes along, for it isn't a word
+                start_key = int(keys[starts[0]].astype(np.int64)) if k == 0 else 0
+                for b in range(len(edges)) if k == 0 else np.flatnonzero(np.diff(cut_at)).tolist():
+                    own = slice(cut_at[b], cut_at[b + 1])
+                    yield _row_batch([(b, chunk, b * order + k, squeezed(known[own], bits), narrow(many[own]), start_key, 0)])
 
     return run
 
@@ -213,10 +236,11 @@ def _rows(batches):
         yield from zip(*[c.to_pylist() for c in batch.columns])
 
 
-def _answer(order: int, bits: int):
+def _answer(order: int):
     """A bucket's sums, sent to each chunk for the n-grams it asked of."""
 
     def flush(asked: list[tuple]):
+        bits = bits_of(asked[0][2] % order + 1)
         keys = [unsqueezed(r[3], bits) for r in asked]
         flat = np.concatenate(keys)
         flat.sort()
@@ -245,8 +269,8 @@ def _answer(order: int, bits: int):
     return run
 
 
-def _scored(buckets: int, order: int, bits: int, prior: tuple[float, float]):
-    edges = edges_of(buckets, bits)[:-1]
+def _scored(buckets: int, order: int, prior: tuple[float, float]):
+    split = _buckets_of(buckets, order)
 
     def flush(text: tuple, answers: list[tuple]):
         table = pa.ipc.open_stream(text[3]).read_all().combine_chunks()
@@ -254,16 +278,16 @@ def _scored(buckets: int, order: int, bits: int, prior: tuple[float, float]):
         n = len(tokens)
         types, total = sum(r[5] for r in answers), sum(r[6] for r in answers)
         parts = {r[2]: r[4] for r in answers}
-        if len(parts) != buckets * order:
-            raise RuntimeError(f"chunk {text[1]} got {len(parts)} answers of {buckets * order}")
         by = []
-        for k, (keys, there) in enumerate(ngrams(tokens, at, order, bits)):
-            known, places, begin = distinct(keys, there, bits)
-            counts = [from_narrow(parts.pop(b * order + k)) for b in range(buckets)]
-            if [len(c) for c in counts] != np.diff(np.append(np.searchsorted(known, edges), len(known))).tolist():
-                raise RuntimeError(f"the texts of chunk {text[1]} aren't those that asked: the input changed between its two scans")
+        for k, (keys, there) in enumerate(ngrams(tokens, at, order)):
+            known, places, begin = distinct(keys, there, bits_of(k + 1))
+            sizes = np.diff(_places(known, split[k][1]))
+            asked = range(len(sizes)) if k == 0 else np.flatnonzero(sizes).tolist()
+            counts = [from_narrow(parts.pop(b * order + k, narrow(known[:0]))) for b in asked]
+            if [len(c) for c in counts] != sizes[asked].tolist():
+                raise RuntimeError(f"chunk {text[1]} didn't get the answers to what its texts ask: the input changed between its two scans")
             spread = np.zeros(n, np.int64)
-            spread[places] = np.repeat(np.concatenate(counts), np.diff(np.append(begin, len(places))))
+            spread[places] = np.repeat(np.concatenate([*counts, known[:0].astype(np.int64)]), np.diff(np.append(begin, len(places))))
             by.append(spread)
         del tokens, keys, there, places, begin, known, counts
         machine = BackoffAutomaton(by, total, types, prior)
@@ -291,13 +315,20 @@ def _scored(buckets: int, order: int, bits: int, prior: tuple[float, float]):
     return run
 
 
+def _steady(docs: DataFrame) -> bool:
+    """Whether each scan of docs gives the same rows in the same order: a plan of file scans, projections and filters does."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(?:\*\(\d+\) )?(\w+)", line))}
+    return nodes <= {"FileScan", "ColumnarToRow", "Project", "Filter"}
+
+
 def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", order: int = 3, prior: tuple[float, float] = (3.0, 0.8), buckets: int | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     learn is the condition (a Column) of rows whose n-grams are counted; all rows are scored.
     Tokens are the lower-cased words, then one end.  base_score sums the log10 of add-one
     unigram probabilities, score those of the automaton.  buckets: None for one to each
-    16 MB of input, 24 at least.
+    16 MB of input, as many as shuffle partitions at least; each is a task of its own.
 
     Null text is empty: its only token is the end.  A null learn doesn't learn.  Repeated
     rows are counted and scored each.  With nothing to learn from, all words are unknown.
@@ -307,13 +338,12 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if buckets is None:
         buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
-    bits = key_bits(size)
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.spark_partition_id().cast("long").alias("part"))
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        wanted = cut(wanted)  # shuffled rows may come in another order the second time
-    asked = wanted.mapInArrow(_ask(buckets, order, bits), _ROW)
-    answered = asked.repartition("dest").sortWithinPartitions("bucket").mapInArrow(_answer(order, bits), _ROW).union(wanted.mapInArrow(_texts, _ROW))
+    if not _steady(docs):
+        wanted = cut(wanted)  # rows may come in another order the second time
+    asked = wanted.mapInArrow(_ask(buckets, order), _ROW)
+    answered = asked.repartitionById(buckets, "dest").sortWithinPartitions("bucket").mapInArrow(_answer(order), _ROW).union(wanted.mapInArrow(_texts, _ROW))
     kind = wanted.schema["doc_id"].dataType.simpleString()
-    return answered.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(
-        _scored(buckets, order, bits, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return answered.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(
+        _scored(buckets, order, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

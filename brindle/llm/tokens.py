@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -31,6 +32,8 @@ MAGIC = b"BRBP"
 BLOCK = 1 << 16
 #: Longest piece (bytes) and most pieces that a worker remembers the ids of.
 CACHED_BYTES, CACHED = 64, 1_000_000
+#: Bytes of input to a shard, about; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 256 << 20
 
 
 # ---- bit packing
@@ -120,16 +123,38 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """A tokenizer with a memory of pieces it has met."""
+    """A tokenizer, as its file has it, with a memory of pieces it has met.
+
+    Strings of its added tokens in a text are pieces of their own, so they get their one id
+    and what stands beside them is encoded as the library does.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        #: Tokens that take white space or only stand alone can't be cut out; texts are then encoded whole.
+        self.whole = any(t.lstrip or t.rstrip or t.single_word for t in added)
+        longest_first = sorted((t.content.encode() for t in added), key=lambda t: (-len(t), t))
+        self.added = re.compile(b"|".join(map(re.escape, longest_first))) if added else None
         self.forget()
 
+    def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of added tokens, and of the pieces of what stands between them."""
+        raw = data.tobytes()
+        if self.whole:
+            full = np.flatnonzero(np.diff(offs))
+            return offs[full], offs[full + 1]
+        if self.added is None or not self.added.search(raw):
+            return pieces(data, offs)
+        found = np.array([m.span() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()) for m in self.added.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+        starts, _ = pieces(data, np.unique(np.concatenate((offs, found.ravel()))))
+        at = np.searchsorted(found[:, 0], starts, side="left") - 1  # the last token that begins before
+        starts = starts[(at < 0) | (starts >= np.append(found[:, 1], 0)[at])]
+        return starts, np.append(starts[1:], len(data))
+
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -151,7 +176,7 @@ class Encoder:
     def encode(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a column, `end` after each, and how many each has."""
         data, offs = text_bytes(column)
-        starts, ends = pieces(data, offs)
+        starts, ends = self.pieces(data, offs)
         h = hash_spans(data, starts, ends)
         distinct, first, inverse = unique_inverse(h)
         if len(self.known) > CACHED:
@@ -203,6 +228,8 @@ class ShardWriter:
     """Writes one shard under a name of its own, and gives it its final name when it is whole."""
 
     def __init__(self, folder: str, name: str, bits: int):
+        if BLOCK % 8:
+            raise ValueError("blocks must end at whole bytes")
         self.fs, base = filesystem(folder)
         self.fs.create_dir(base, recursive=True)
         self.final, self.temporary = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
@@ -267,8 +294,7 @@ class ShardReader:
             return np.zeros(0, np.uint32)
         first, last = a // self.block, (b - 1) // self.block
         raw = self.file.read_at(self.offsets[last + 1] - self.offsets[first], self.offsets[first])
-        if self.block * self.bits % 8 == 0:
-            got = unpack(raw, self.bits, min(self.n, (last + 1) * self.block) - first * self.block)
+        got = unpack(raw, self.bits, min(self.n, (last + 1) * self.block) - first * self.block)
         return got[a - first * self.block : b - first * self.block]
 
     def document(self, k: int) -> np.ndarray:
@@ -280,12 +306,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
     """Writes all documents' ids in ascending order of id as shard files in `folder`; one row a shard: shard, name, n_docs, n_ids, start.
 
     Null text encodes as empty, so to the end id alone; null ids come first; rows of the same
-    id are ordered by text, and equal rows are written each.  Special tokens' strings in
-    texts are ordinary text.  Other columns are left aside.  No documents, no shards.  A task
-    that runs again replaces its file with the same bytes.
+    id are ordered by their texts' hashes, may lie in several shards, and equal rows are
+    written each.  Strings of the tokenizer's added tokens in texts get those tokens' ids, as
+    in the library.  Other columns are left aside.  No documents, no shards.  A task that runs
+    again replaces its file with the same bytes.
     """
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // SHARD_BYTES, 1 << 20))
+    place = F.xxhash64("text")
+    ordered = wanted.repartitionByRange(shards, "doc_id", place).sortWithinPartitions("doc_id", place, "text")
     bits = width_of(max(vocabulary, end + 1))
 
     def run(batches):

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 from brindle.llm import linededup
+from pyspark.sql import functions as F
 
 from .rows import empty, table, words_of
 
@@ -17,30 +18,28 @@ def near(a, b):
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
-def brute(rows, least=4, piece=128):
-    """{id: (exact, near, dropped)} by comparing each unit with all before it."""
-    units = sorted((i, j, p // piece, tuple(w[p : p + piece])) for i, t in set(rows) if i is not None for j, x in enumerate((t or "").split("\n")) for w in [words_of(x)] for p in range(0, len(w), piece))
+def brute(rows, least=4):
+    """{id: (exact, near, dropped)} by comparing each whole line with all before it."""
+    units = sorted((i, j, tuple(w)) for i, t in set(rows) if i is not None for j, x in enumerate((t or "").lower().split("\n")) if (w := words_of(x)))
     seen, out = [], defaultdict(lambda: [0, 0, []])
-    for i, j, p, w in units:
-        if len(w) < least:
-            continue
-        earlier = [x for x in seen if x[:3] < (i, j, p)]
-        same, close = any(x[3] == w for x in earlier), any(near(x[3], w) for x in earlier)
-        if close:
+    for i, j, w in units:
+        earlier = [x for x in seen if x[:2] < (i, j)]
+        same, close = any(x[2] == w for x in earlier), len(w) >= least and any(len(x[2]) >= least and near(x[2], w) for x in earlier)
+        if same or close:
             out[i][0 if same else 1] += 1
-            out[i][2].append((j, p))
-        seen.append((i, j, p, w))
+            out[i][2].append(j)
+        seen.append((i, j, w))
     return out
 
 
 def check(spark, rows, **settings):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows, **settings)
-    got = linededup.line_drops(df, **settings).collect()
+    got = linededup.line_drops(df, **settings).withColumn("dropped", linededup.dropped(F.col("gone"))).collect()
     assert {r["doc_id"] for r in got} == {i for i, _ in rows}
     for r in got:
         w = want[r["doc_id"]] if r["doc_id"] is not None else [0, 0, []]
-        assert (r["n_exact"], r["n_near"], r["dropped"]) == (w[0], w[1], ",".join(f"{a}.{b}" for a, b in sorted(w[2])))
+        assert (r["n_exact"], r["n_near"], r["dropped"]) == (w[0], w[1], ",".join(map(str, sorted(w[2]))))
 
 
 def test_edits(spark):
@@ -53,9 +52,28 @@ def test_edits(spark):
     check(spark, rows)
 
 
-def test_pieces(spark):
-    long = [f"w{i}" for i in range(50)]
-    check(spark, [(1, " ".join(long)), (2, " ".join(long[:20] + ["x"] + long[21:])), (3, " ".join(long[10:]))], piece=10, least=3)
+def test_long_lines(spark):
+    """One word put in, left out or changed anywhere in lines of any length."""
+    for n in (31, 33, 300, 1500):
+        w = [f"w{i % 97}" for i in range(n)]
+        rows = [(1, " ".join(w)), (2, " ".join([*w[:5], "put", *w[5:]])), (3, " ".join(w[: n - 3] + w[n - 2 :])), (4, " ".join([*w[: n // 2], "other", *w[n // 2 + 1 :]])), (5, " ".join(w[3:])), (6, " ".join(["x", *w[1:-1], "y"])), (7, " ".join([*w, "end"])), (8, " ".join(w[1:]))]
+        check(spark, rows, least=3)
+
+
+def test_repeated_words(spark):
+    check(spark, [(1, "a a a a a"), (2, "a a a a"), (3, "a a a a a a a"), (4, "a a b a a"), (5, "b a b a b"), (6, "a b a b a"), (7, "a b a b"), (8, "b a b a")])
+
+
+def test_short_and_common_lines(spark):
+    """Equal lines of any length go but the first; a common line is looked up apart."""
+    rows = [(i, f"Menu\nall rights reserved by us\nown line {i} of document number {i} {'z' * i}\na b") for i in range(400)] + [(1000, "a\nb\nmenu "), (1001, "a c\nall rights reserved by them")]
+    check(spark, rows)
+
+
+def test_words_before_and_behind(spark):
+    pairs = [("a b c d", "a x c d", 2, 0, True), ("a b c d", "x b c d", 1, 0, True), ("a b c d", "a b c x", 4, 0, True), ("a b c d", "a x c e", 2, 0, False), ("a b c", "a b x c", 3, 1, True), ("a b c", "a b c x", 4, 1, True), ("x a b c", "a b c", 1, -1, True), ("a b c d", "a b d", 2, -1, False), ("a b c d", "a b c", 2, 0, False)]
+    df = spark.createDataFrame(pairs, "a string, b string, at int, kind int, want boolean")
+    assert df.where(~linededup.one_edit(F.col("a"), F.col("b"), F.col("at"), F.col("kind")).eqNullSafe(F.col("want"))).count() == 0
 
 
 def test_any_rows(spark):
@@ -74,6 +92,12 @@ def test_dropping(spark):
     assert out == {1: "keep this line here\nshort", 2: "own words are kept", 3: None}
 
 
+def test_dropping_from_unlike_rows_of_an_id(spark):
+    df = spark.createDataFrame([(1, "one line of words"), (2, "one line of words\nx"), (2, "another text here now\ny"), (None, "one line of words")], "doc_id long, text string")
+    out = linededup.drop_lines(df, linededup.line_drops(df)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "one line of words"), (1, "one line of words"), (2, "another text here now\ny"), (2, "x")]
+
+
 def test_only_expressions(spark):
     plan = linededup.line_drops(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brindle.llm import tokens
 from brindle.llm.queries import VOCABULARY, tokenizer_path
@@ -28,9 +29,7 @@ def test_packing(bits, ids):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True  # as the operator has it
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def plain(text):
@@ -45,6 +44,26 @@ def test_pieces_encode_as_the_whole(texts):
     assert n.tolist() == [len(plain(t)) for t in texts]
 
 
+def test_added_tokens():
+    """Their strings get their one id wherever they stand, as in the library."""
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", f" {mark} x", f"a {mark}  b\n", mark * 3, mark[:-1], f"<|{mark}|>", f"é{mark}日\t{mark}\n\n", "", f"{mark[:7]}", f"{mark[7:]}{mark}", f"word  {mark}{' y' * 100}{mark}"]
+    got, n = tokens.encoder(tokenizer_path()).encode(pa.array(texts), 2)
+    assert got.tolist() == [x for t in texts for x in plain(t)] and n.tolist() == [len(plain(t)) for t in texts]
+    assert plain(texts[0]) == [64, 50256, 65, 2]
+
+
+def test_tokenizers_whose_added_tokens_take_space(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.add_special_tokens([AddedToken("<x>", lstrip=True)])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["a  <x> b", "", " <x><|endoftext|>", "c <x>"]
+    got, _ = tokens.Encoder(str(tmp_path / "t.json")).encode(pa.array(texts), 2)
+    assert got.tolist() == [x for s in texts for x in [*t.encode(s, add_special_tokens=False).ids, 2]]
+
+
 @pytest.mark.parametrize("bits,block", [(16, 64), (17, 64), (11, 8)])
 def test_shards(tmp_path, monkeypatch, bits, block):
     monkeypatch.setattr(tokens, "BLOCK", block)
@@ -70,7 +89,7 @@ def test_torn_file(tmp_path):
 
 def test_round_trip(spark):
     df = table(spark)
-    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect()]
     got = sorted(tokens.tokenize(df, tokenizer_path(), VOCABULARY).collect(), key=lambda r: r["start"])
     start = 0
     assert len(got) == len(rows)
