@@ -96,8 +96,8 @@ def settle(outbox: DataFrame, scope: str, token: str, as_of: int, status: str, d
     )
 
 
-def stage_outcomes(outbox: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """arrivals (scope, message_id, phase, ordinal, payload_hash) with outcome.
+def stage_outcomes(outbox: DataFrame, arrivals: DataFrame, seq: str = "seq") -> DataFrame:
+    """arrivals (scope, message_id, phase, ordinal, payload_hash, seq) with outcome, each as if those before it in seq had been stored.
 
     An identity already stored is already_staged, or payload_diverged if its hash differs; a
     new one is ordinal_superseded behind a greater stored ordinal, else staged.
@@ -106,10 +106,47 @@ def stage_outcomes(outbox: DataFrame, arrivals: DataFrame) -> DataFrame:
     top = outbox.groupBy(*key).agg(F.max("ordinal").alias("_top"))
     same = outbox.select(*key, "ordinal", F.col("payload_hash").alias("_hash"))
     rows = arrivals.join(top, key, "left").join(same, [*key, "ordinal"], "left")
-    outcome = (
-        F.when(F.col("_hash").isNotNull() & (F.col("_hash") == F.col("payload_hash")), "already_staged").when(F.col("_hash").isNotNull(), "payload_diverged").when(F.col("_top") > F.col("ordinal"), "ordinal_superseded").otherwise("staged")
-    )
-    return rows.withColumn("outcome", outcome).drop("_top", "_hash")
+    # an arrival leaves a stored ordinal of at least its own behind, its own or the one that supersedes it
+    before = F.max("ordinal").over(Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_top", F.greatest("_top", before))
+    identity = Window.partitionBy(*key, "ordinal").orderBy(seq)
+    staged_first = F.coalesce(F.first(F.col("_top") <= F.col("ordinal")).over(identity), F.lit(True))
+    rows = rows.withColumn("_n", F.row_number().over(identity)).withColumn("_own", F.when(staged_first, F.first("payload_hash").over(identity)))
+    stored = F.coalesce("_hash", F.when(F.col("_n") > 1, F.col("_own")))
+    outcome = F.when(stored == F.col("payload_hash"), "already_staged").when(stored.isNotNull(), "payload_diverged").when(F.col("_top") > F.col("ordinal"), "ordinal_superseded").otherwise("staged")
+    return rows.withColumn("outcome", outcome).drop("_top", "_hash", "_n", "_own")
+
+
+def lookup(outbox: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (scope, message_id, phase, ordinal) with found, and status, client_request_id, attempts and has_payload of the stored reply."""
+    key = ["scope", "message_id", "phase", "ordinal"]
+    stored = outbox.select(*key, F.lit(True).alias("_found"), "status", "client_request_id", "attempts", F.col("payload").isNotNull().alias("has_payload"))
+    return wanted.join(stored, key, "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
+def mark_diverged(outbox: DataFrame, wanted: DataFrame, as_of: int) -> DataFrame:
+    """The outbox with payload_divergence_seen and updated_at set where wanted has the identity."""
+    key = ["scope", "message_id", "phase", "ordinal"]
+    marks = wanted.select(*key).distinct().withColumn("_mark", F.lit(True))
+    out = transition(outbox.join(marks, key, "left"), F.col("_mark").isNotNull(), payload_divergence_seen=True, updated_at=as_of)
+    return out.drop("_mark")
+
+
+#: The statuses of a reply, and the forms of a payload's hash and of a client's request id.
+STATUSES = ("pending", "submitting", "accepted", "retryable_pre_dispatch", "outcome_unknown", "dead", "permanent_conflict", "manual_review")
+PAYLOAD_HASH, CLIENT_REQUEST_ID = "^[0-9a-f]{64}$", "^[A-Za-z0-9._:-]{8,160}$"
+
+
+def violations(outbox: DataFrame) -> DataFrame:
+    """One row (id, rule) for each state rule a reply breaks."""
+    filled = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
+    scrubbed, reviewed = F.col("status").isin(*FINAL), F.col("status") == "manual_review"
+    rules = {
+        "message_id": filled("message_id"), "phase": filled("phase"), "ordinal": F.col("ordinal") >= 0, "attempts": F.col("attempts") >= 0, "payload_hash": F.col("payload_hash").rlike(PAYLOAD_HASH), "client_request_id": F.col("client_request_id").rlike(CLIENT_REQUEST_ID),
+        "status": F.col("status").isin(*STATUSES), "payload_replayable": F.col("payload").isNotNull() | scrubbed, "room_scrub": filled("room_id") | scrubbed, "terminal_reason": F.when(reviewed, filled("terminal_reason")).otherwise(F.col("terminal_reason").isNull()),
+    }
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    return outbox.select("id", F.explode(broken).alias("rule"))
 
 
 def prune_replies(outbox: DataFrame, scope: str, as_of: int, limit: int) -> DataFrame:

@@ -100,21 +100,40 @@ def release_token(inbox: DataFrame, scope: str, token: str, keep: list[int] = ()
     return transition(inbox, _fence(scope, token) & ~kept, status="pending", attempts=F.greatest(F.col("attempts") - 1, F.lit(0)), **_FREE)
 
 
-def apply_recovery(inbox: DataFrame, decisions: DataFrame, scope: str, as_of: int, scrub: bool = False) -> DataFrame:
-    """Bulk decisions (id, message_id, claim_token, attempts, lease_until, status, reason), each fenced by what it saw."""
+def _fenced(decisions: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Decisions under names of their own, the condition that joins them to rows, and the fence beyond it."""
     d = decisions.select(*[F.col(c).alias(f"d_{c}") for c in ("id", "message_id", "claim_token", "attempts", "lease_until", "status", "reason")])
     held = (F.col("d_claim_token") != "") & (F.col("status") == "processing") & (F.col("claim_token") == F.col("d_claim_token")) & (F.col("lease_until") == F.col("d_lease_until"))
     waiting = (F.col("d_claim_token") == "") & (F.col("status") == "pending") & F.col("claim_token").isNull() & F.col("lease_until").isNull()
     on = (F.col("id") == F.col("d_id")) & (F.col("message_id") == F.col("d_message_id")) & (F.col("attempts") == F.col("d_attempts"))
+    return d, on, held | waiting
+
+
+def apply_recovery(inbox: DataFrame, decisions: DataFrame, scope: str, as_of: int, scrub: bool = False) -> DataFrame:
+    """Bulk decisions (id, message_id, claim_token, attempts, lease_until, status, reason), each fenced by what it saw.
+
+    Of several decisions that saw the same of a row, the least by status and reason applies.
+    """
+    seen = ("id", "message_id", "claim_token", "attempts", "lease_until")
+    one = decisions.groupBy(*seen).agg(F.min(F.struct("status", "reason")).alias("_d")).select(*seen, "_d.status", "_d.reason")
+    d, on, fence = _fenced(one)
     joined = inbox.join(d, on, "left")
     blank = (F.col("d_status") == "completed") | ((F.col("d_status") == "manual_review") & F.lit(scrub))
     out = transition(
-        joined, (F.col("scope") == scope) & (held | waiting), status=F.col("d_status"), payload=F.when(blank, F.lit("{}")).otherwise(F.col("payload")),
+        joined, (F.col("scope") == scope) & fence, status=F.col("d_status"), payload=F.when(blank, F.lit("{}")).otherwise(F.col("payload")),
         terminal_at=F.when(F.col("d_status") != "pending", F.lit(as_of)), terminal_reason=F.nullif(F.col("d_reason"), F.lit("")), available_at=as_of, **_FREE,
     )
     return out.drop(*d.columns)
 
 
+def recovery_claims(inbox: DataFrame, decisions: DataFrame, scope: str) -> DataFrame:
+    """One row: how many decisions were asked for, how many rows they still hold, and lost, whether that is fewer: the claim is lost and nothing must be applied."""
+    d, on, fence = _fenced(decisions)
+    held = inbox.where(F.col("scope") == scope).join(d, on).where(fence).agg(F.lit(0).cast("long").alias("asked"), F.count_distinct("id").alias("affected"))
+    asked = decisions.agg(F.count(F.lit(1)).alias("asked"), F.lit(0).cast("long").alias("affected"))
+    return asked.union(held).agg(F.sum("asked").alias("asked"), F.sum("affected").alias("affected")).withColumn("lost", F.col("affected") != F.col("asked"))
+
+
 def runtime_snapshot(inbox: DataFrame, scope: str, as_of: int) -> DataFrame:
     """Counts by status, how many are due, and the age of the oldest due, in one filtered aggregation."""
     due_at = F.when(F.col("status") == "pending", F.col("available_at")).when(F.col("status") == "processing", F.col("lease_until"))

@@ -1,8 +1,7 @@
 """Keyed event-time state over batches: set-once keys, limiters, caches, bounded queues, jobs, samplers, retries.
 
-Times are integers (microseconds).  A key's events are folded in order, but never more of
-them at once than one burst: an event at least a time-to-live after the one before starts
-afresh whatever came earlier, so bursts are independent.
+Times are integers (microseconds).  A key's events are folded in order by a state that goes
+from row to row, so a key's history is never gathered.
 """
 
 from __future__ import annotations
@@ -10,25 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def openers(df: DataFrame, key: str, ts: str, seq: str, ttl: int) -> DataFrame:
     """Adds opened_at: the time of the event that opened the span an event falls into.
 
     A key's first event opens a span of ttl; the first event at its end or later opens the next.
     """
-    order = Window.partitionBy(key).orderBy(ts, seq)
-    gap = F.coalesce(F.col(ts) - F.lag(ts).over(order) >= ttl, F.lit(True))
-    burst = df.withColumn("_gap", gap).withColumn("_burst", F.sum(F.col("_gap").cast("int")).over(order))
-    groups = burst.groupBy(key, "_burst").agg(F.array_sort(F.collect_set(ts)).alias("_times"))
 
-    def step(a: Column, t: Column) -> Column:
-        last = F.element_at(a, -1)
-        return F.when((F.size(a) == 0) | (t >= last + ttl), F.concat(a, F.array(t))).otherwise(a)
+    def step(opened, t):
+        opened = t if opened < 0 or t >= opened + ttl else opened
+        return opened, (opened,)
 
-    opened = groups.withColumn("_open", F.aggregate("_times", F.array().cast("array<bigint>"), step)).select(F.col(key).alias("_key"), F.col("_burst").alias("_b"), "_open")
-    joined = burst.join(opened, burst[key].eqNullSafe(F.col("_key")) & (F.col("_burst") == F.col("_b")))
-    at = F.array_max(F.filter("_open", lambda o: o <= F.col(ts)))
-    return joined.withColumn("opened_at", at).select(*df.columns, "opened_at")
+    return folds.running(df, key, (ts, seq), (ts,), "opened_at bigint", lambda: -1, step)
 
 
 def set_once(df: DataFrame, key: str, ts: str, seq: str, ttl: int) -> DataFrame:
@@ -51,28 +45,17 @@ def cache_hits(df: DataFrame, key: str, ts: str, seq: str, ttl: int) -> DataFram
 
 
 def bounded_queue(df: DataFrame, key: str, seq: str, kind: str, capacity: int) -> DataFrame:
-    """One row a key: offered, accepted, rejected, taken, depth of a FIFO that holds at most `capacity`.
-
-    kind is put or take.  Runs of puts and takes are folded as one step each, so what is
-    gathered for a key is one number for each change of direction.
-    """
-    order = Window.partitionBy(key).orderBy(seq)
-    turn = df.withColumn("_turn", F.coalesce(F.col(kind) != F.lag(kind).over(order), F.lit(True)).cast("int")).withColumn("_run", F.sum("_turn").over(order))
-    runs = turn.groupBy(key, "_run").agg(F.first(kind).alias("k"), F.count(F.lit(1)).alias("n"))
-    steps = runs.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_run", "k", "n"))), lambda s: F.struct(s["k"].alias("k"), s["n"].alias("n"))).alias("_s"))
-    zero = F.lit(0).cast("long")
+    """One row a key: offered, accepted, rejected, taken, depth of a FIFO that holds at most `capacity`; kind is put or take."""
 
-    def step(a: Column, s: Column) -> Column:
-        put = s["k"] == "put"
-        fits = F.least(s["n"], capacity - a["depth"])
-        got = F.least(s["n"], a["depth"])
-        return F.struct(
-            F.when(put, a["depth"] + fits).otherwise(a["depth"] - got).alias("depth"), (a["offered"] + F.when(put, s["n"]).otherwise(zero)).alias("offered"),
-            (a["accepted"] + F.when(put, fits).otherwise(zero)).alias("accepted"), (a["taken"] + F.when(put, zero).otherwise(got)).alias("taken"),
-        )
+    def step(state, what):
+        depth, offered, accepted, taken = state
+        if what == "put":
+            fits = depth < capacity
+            return depth + fits, offered + 1, accepted + fits, taken
+        got = what == "take" and depth > 0
+        return depth - got, offered, accepted, taken + got
 
-    start = F.struct(zero.alias("depth"), zero.alias("offered"), zero.alias("accepted"), zero.alias("taken"))
-    return steps.withColumn("_q", F.aggregate("_s", start, step)).select(key, "_q.offered", "_q.accepted", (F.col("_q.offered") - F.col("_q.accepted")).alias("rejected"), "_q.taken", "_q.depth")
+    return folds.totals(df, key, (seq,), (kind,), "offered bigint, accepted bigint, rejected bigint, taken bigint, depth bigint", lambda: (0, 0, 0, 0), step, lambda s: (s[1], s[2], s[1] - s[2], s[3], s[0]))
 
 
 def job_outcome(enqueued: Column, max_age: Column, started: Column, timeout: Column, ended: Column, canceled: Column, panicked: Column) -> Column:
@@ -116,11 +99,41 @@ def retention(df: DataFrame, group: str, ts: str, name: str, as_of: int, max_age
 
 def gauge_fold(df: DataFrame, key: str, seq: str, delta: str) -> DataFrame:
     """One row a key: value after its deltas in order, and how many were rejected; one that would go below 0 is rejected whole."""
-    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(seq, delta))), lambda s: s[delta].cast("long")).alias("_d"))
-    zero = F.lit(0).cast("long")
 
-    def step(a: Column, d: Column) -> Column:
-        ok = a["value"] + d >= 0
-        return F.struct(F.when(ok, a["value"] + d).otherwise(a["value"]).alias("value"), (a["rejected"] + F.when(ok, zero).otherwise(F.lit(1).cast("long"))).alias("rejected"))
+    def step(state, d):
+        value, rejected = state
+        return (value + d, rejected) if value + d >= 0 else (value, rejected + 1)
+
+    return folds.totals(df, key, (seq,), (delta,), "value bigint, rejected bigint", lambda: (0, 0), step, lambda s: s)
+
+
+def finalizers(df: DataFrame, key: str, seq: str, kind: str, capacity: int) -> DataFrame:
+    """One row a key of a finalizer's events in order (reserve, claim, done, close): reservations still held, claimed, completed, rejected, overloaded (of these while open).
+
+    A reservation is taken while the finalizer is open and fewer than `capacity` are held; done gives one back.
+    """
 
-    return rows.withColumn("_g", F.aggregate("_d", F.struct(zero.alias("value"), zero.alias("rejected")), step)).select(key, "_g.value", "_g.rejected")
+    def step(state, what):
+        held, claimed, done, rejected, overloaded, closed = state
+        if what == "reserve":
+            if closed or held >= capacity:
+                return held, claimed, done, rejected + 1, overloaded + (not closed), closed
+            return held + 1, claimed, done, rejected, overloaded, closed
+        if what == "claim":
+            return held, claimed + 1, done, rejected, overloaded, closed
+        if what == "done":
+            return max(held - 1, 0), claimed, done + 1, rejected, overloaded, closed
+        return held, claimed, done, rejected, overloaded, closed or what == "close"
+
+    return folds.totals(df, key, (seq,), (kind,), "reservations bigint, claimed bigint, completed bigint, rejected bigint, overloaded bigint", lambda: (0, 0, 0, 0, 0, False), step, lambda s: s[:5])
+
+
+def pool_snapshot(jobs: DataFrame, group: str, as_of: int) -> DataFrame:
+    """One row a group of jobs (enqueued, started, ended, outcome; times null where not yet): queue depth, in flight, ages of the oldest of both, and counts by outcome of what started (attempts) and what didn't (discarded)."""
+    waiting = F.col("started").isNull() & F.col("ended").isNull()
+    flying = F.col("started").isNotNull() & F.col("ended").isNull()
+    over = F.col("ended").isNotNull()
+    age = lambda c, cond: F.coalesce(F.greatest(F.lit(as_of) - F.min(F.when(cond, F.col(c))), F.lit(0)), F.lit(0)).cast("long")
+    per = jobs.groupBy(group, "outcome").agg(F.count_if(waiting).alias("w"), F.count_if(flying).alias("f"), age("enqueued", waiting).alias("wa"), age("started", flying).alias("fa"), F.count_if(over & F.col("started").isNotNull()).alias("a"), F.count_if(over & F.col("started").isNull()).alias("d"))
+    counts = lambda c: F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.concat(F.col("outcome"), F.lit("="), F.col(c).cast("string"))))))
+    return per.groupBy(group).agg(F.sum("w").alias("queue_depth"), F.sum("f").alias("in_flight"), F.max("wa").alias("oldest_queued"), F.max("fa").alias("oldest_in_flight"), counts("a").alias("attempts"), counts("d").alias("discarded"))

@@ -94,3 +94,34 @@ def registration_problems(df: DataFrame, known: list[str]) -> DataFrame:
         F.when(~F.col("scope").isin("process", "service", "shared"), "scope"), F.when((F.col("backend") == "memory") & (F.col("scope") != "process"), "memory_scope"),
     ))
     return df.select("worker", F.explode(found).alias("problem")).distinct()
+
+
+def sealed_problems(df: DataFrame, known: list[str]) -> DataFrame:
+    """(worker, problem) that keep registrations from being sealed: a known worker that is missing, or (worker empty) more than one runtime."""
+    wanted = df.sparkSession.createDataFrame([(k,) for k in known], "worker string")
+    missing = wanted.join(df.select("worker"), "worker", "left_anti").select("worker", F.lit("missing").alias("problem"))
+    mixed = df.agg(F.count_distinct("runtime").alias("n")).where("n > 1").select(F.lit("").alias("worker"), F.lit("mixed_runtimes").alias("problem"))
+    return missing.union(mixed)
+
+
+def settings_problems(df: DataFrame, id_col: str, doc: str, schema: dict) -> DataFrame:
+    """(id, path, problem) of settings as JSON text against a schema of nested dicts whose leaves are "value" or "optional".
+
+    An object must have exactly the schema's members (keys); null stands only for an optional
+    leaf (null).  What is below an object with other keys isn't looked at.
+    """
+
+    def found(raw: Column, want: dict, path: str, ok: Column) -> list[Column]:
+        names = F.array(*[F.lit(n) for n in sorted(want)])
+        fits = F.coalesce(F.array_sort(F.json_object_keys(raw)) == names, F.lit(False))
+        out = [F.when(ok & ~fits, F.struct(F.lit(path).alias("path"), F.lit("keys").alias("problem")))]
+        for name in sorted(want):
+            value = F.get_json_object(raw, f"$.{name}")
+            if isinstance(want[name], dict):
+                out += found(value, want[name], f"{path}.{name}", ok & fits)
+            elif want[name] != "optional":
+                out.append(F.when(ok & fits & value.isNull(), F.struct(F.lit(f"{path}.{name}").alias("path"), F.lit("null").alias("problem"))))
+        return out
+
+    every = F.array_compact(F.array(*found(F.col(doc), schema, "settings", F.lit(True))))
+    return df.select(F.col(id_col).alias("id"), F.explode(every).alias("p")).select("id", "p.*")

@@ -87,8 +87,9 @@ _STAGE_SQL = ", ".join(f"{e} AS {c}" for c, e in _STAGE.items())
 
 
 @query(
-    f"WITH {OUTBOX_SQL}, a AS (SELECT id AS seq, {_STAGE_SQL} FROM outbox) SELECT a.seq, CASE WHEN s.payload_hash = a.payload_hash THEN 'already_staged' WHEN s.payload_hash IS NOT NULL THEN 'payload_diverged' WHEN EXISTS (SELECT 1 FROM outbox x WHERE x.scope = a.scope AND x.message_id = a.message_id AND x.phase = a.phase AND x.ordinal > a.ordinal) THEN 'ordinal_superseded' ELSE 'staged' END AS outcome "
-    "FROM a LEFT JOIN outbox s ON s.scope = a.scope AND s.message_id = a.message_id AND s.phase = a.phase AND s.ordinal = a.ordinal"
+    f"WITH {OUTBOX_SQL}, a AS (SELECT id AS seq, {_STAGE_SQL} FROM outbox), t AS (SELECT a.*, s.payload_hash AS stored, greatest((SELECT max(x.ordinal) FROM outbox x WHERE x.scope = a.scope AND x.message_id = a.message_id AND x.phase = a.phase), max(a.ordinal) OVER (PARTITION BY a.scope, a.message_id, a.phase ORDER BY a.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS top FROM a LEFT JOIN outbox s ON s.scope = a.scope AND s.message_id = a.message_id AND s.phase = a.phase AND s.ordinal = a.ordinal), "
+    "f AS (SELECT *, row_number() OVER w AS n, first_value(payload_hash) OVER w AS first_hash, coalesce(first_value(top) OVER w <= ordinal, true) AS first_staged FROM t WINDOW w AS (PARTITION BY scope, message_id, phase, ordinal ORDER BY seq)), h AS (SELECT *, coalesce(stored, CASE WHEN n > 1 AND first_staged THEN first_hash END) AS known FROM f) "
+    "SELECT seq, CASE WHEN known = payload_hash THEN 'already_staged' WHEN known IS NOT NULL THEN 'payload_diverged' WHEN top > ordinal THEN 'ordinal_superseded' ELSE 'staged' END AS outcome FROM h"
 )
 def reply_stage_outcome(spark, sf_dir):
     rows = outbox(spark, sf_dir)
