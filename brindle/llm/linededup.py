@@ -35,17 +35,23 @@ COMMON = 50_000
 _BLOCK = 32
 
 
-def normal(text: Column) -> Column:
-    """Lower-cased, with one space for each run of white space but line ends."""
-    low = F.lower(text)
+def _spaced(low: Column) -> Column:
+    """One space for each run of white space but line ends."""
     odd = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
     return F.when(odd, F.regexp_replace(low, r"[ \t\r\x0B\f]+", " ")).otherwise(low)
 
 
+def normal(text: Column) -> Column:
+    """Lower-cased, with one space for each run of white space but line ends."""
+    return _spaced(F.lower(text))
+
+
 def _units(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, more, line, x): the words of each line that has some, with a space between; a document without words has one row of nulls."""
-    lines = F.transform(F.split(normal(F.col("text")), "\n", -1), lambda x, j: F.struct(j.alias("line"), F.trim(x).alias("x")))
-    return docs.select("doc_id", *more, F.explode_outer(F.filter(lines, lambda u: u["x"] != "")).alias("u")).select("doc_id", *more, "u.line", "u.x")
+    """(doc_id, more, line, x): the words of each line with a space between, empty for a line without; a null text has one row of nulls."""
+    # in steps, so that no step's result is computed again for each use
+    low = docs.select("doc_id", *more, F.lower("text").alias("_low"))
+    lines = low.select("doc_id", *more, _spaced(F.col("_low")).alias("_norm")).select("doc_id", *more, F.posexplode_outer(F.split("_norm", "\n", -1)).alias("line", "_x"))
+    return lines.select("doc_id", *more, "line", F.trim("_x").alias("x"))
 
 
 def _count(x: Column) -> Column:
@@ -72,29 +78,43 @@ def _maybe_small(df: DataFrame, numbers: Column) -> DataFrame:
     return F.broadcast(df) if held <= SMALL_BYTES else df
 
 
-def _running_xor(df: DataFrame, name: str) -> DataFrame:
-    """Replaces an array of numbers by the exclusive or of those before each, in blocks so that long arrays stay cheap."""
-    n = F.size(name)
-    block = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(n)).cast("int"))
-    zero = F.lit(0).cast("long")
-    df = df.withColumn("_b", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(F.col(name), b * block + 1, block)))
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _every(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+
+
+def _running_xor(values: Column, then) -> Column:
+    """then(the exclusive or of the values before each), in blocks so that long arrays stay cheap."""
     grow = lambda a, v: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(v)))
-    total = F.transform("_b", lambda x: F.aggregate(x, zero, lambda a, v: a.bitwiseXOR(v)))
-    df = df.withColumn("_t", F.aggregate(total, F.array(zero), grow))
-    inner = F.zip_with("_b", F.slice("_t", F.lit(1), F.size("_b")), lambda x, t: F.slice(F.aggregate(x, F.array(t), grow), F.lit(1), F.size(x)))
-    return df.withColumn(name, F.flatten(inner)).drop("_b", "_t")
+    size = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(F.size(values))).cast("int"))
+
+    def cut_up(block: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, block))
+
+    def scanned(blocks: Column) -> Column:
+        before = F.aggregate(F.transform(blocks, _every), F.array(F.lit(0).cast("long")), grow)
+        inner = lambda starts: F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda x, t: F.slice(F.aggregate(x, F.array(t), grow), F.lit(1), F.size(x)))
+        return then(F.flatten(_let(before, inner)))
+
+    return _let(_let(size, cut_up), scanned)
+
+
+def variant_keys(x: Column) -> Column:
+    """Keys of a unit: that of all words, then that without each word in turn."""
+
+    def of_words(w: Column) -> Column:
+        down = F.transform(w, lambda v, i: F.xxhash64(v, i - 1))
+        return _let(down, lambda d: _let(F.zip_with(d, F.transform(w, lambda v, i: F.xxhash64(v, i)), lambda a, b: a.bitwiseXOR(b)), lambda m: _let(_every(d), lambda behind: joined(d, m, behind))))
 
+    def joined(d: Column, m: Column, behind: Column) -> Column:
+        without = lambda before: F.zip_with(before, d, lambda a, b: a.bitwiseXOR(b).bitwiseXOR(behind))
+        return F.concat(F.array(_every(m).bitwiseXOR(behind)), _running_xor(m, without))
 
-def variants(units: DataFrame) -> DataFrame:
-    """Adds keys to units with x: that of all words, then that without each word in turn."""
-    df = units.withColumn("_w", F.split("x", " ", -1))
-    df = df.withColumn("_down", F.transform("_w", lambda w, i: F.xxhash64(w, i - 1)))
-    df = df.withColumn("_move", F.zip_with("_down", F.transform("_w", lambda w, i: F.xxhash64(w, i)), lambda a, b: a.bitwiseXOR(b)))
-    every = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
-    df = df.withColumn("_behind", every(F.col("_down"))).withColumn("_whole", every(F.col("_move")).bitwiseXOR(F.col("_behind")))
-    df = _running_xor(df, "_move")
-    left = F.zip_with("_move", "_down", lambda a, b: a.bitwiseXOR(b).bitwiseXOR(F.col("_behind")))
-    return df.withColumn("keys", F.concat(F.array("_whole"), left)).drop("_w", "_down", "_move", "_behind", "_whole")
+    return _let(F.split(x, " ", -1), of_words)
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -109,7 +129,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     x, n = F.col("x"), F.col("n")
     half, half1 = F.floor(n / 2), F.floor((n - 1) / 2)
-    counted = _units(wanted).where("doc_id IS NOT NULL AND x IS NOT NULL").withColumn("n", _count(x))
+    counted = _units(wanted.where("doc_id IS NOT NULL AND text IS NOT NULL")).where("x <> ''").withColumn("n", _count(x))
     halves = (F.xxhash64(n, F.lit(0), _first(x, half)), F.xxhash64(n, F.lit(1), _last(x, n - half)), F.xxhash64(n - 1, F.lit(0), _first(x, half1)), F.xxhash64(n - 1, F.lit(1), _last(x, n - 1 - half1)))
     hashed = counted.select(F.xxhash64("x").alias("h"), _place().alias("place"), *[F.when(n >= least, c).alias(f"half{k}") for k, c in enumerate(halves)])
     # 1: equal units, at the earliest
@@ -121,12 +141,12 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ten = F.lit("10000000000").cast("decimal(11,0)")
     per_doc = chosen.groupBy(F.floor(F.col("place") / ten).cast("long").alias("c_id")).agg(F.collect_set("h").alias("hs"))
     texts = wanted.join(_maybe_small(per_doc, F.size("hs")), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "hs")
-    again = _units(texts, "hs").withColumn("h", F.xxhash64("x")).where(F.array_contains("hs", F.col("h"))).select("h", "x", _place().alias("place"))
+    again = _units(texts, "hs").where("x <> ''").withColumn("h", F.xxhash64("x")).where(F.array_contains("hs", F.col("h"))).select("h", "x", _place().alias("place"))
     # 3: variants; a unit is taken at its own place only
     again = again.join(chosen.select(F.col("h").alias("c_h"), F.col("place").alias("c_place")), (F.col("h") == F.col("c_h")) & (F.col("place") == F.col("c_place")), "left_semi")
     again = again.groupBy("h", "place").agg(F.min("x").alias("x"))
     again = cut(again)
-    emitted = cut(variants(again).select("h", "place", F.posexplode("keys").alias("i", "key")))
+    emitted = cut(again.select("h", "place", F.posexplode(variant_keys(F.col("x"))).alias("i", "key")))
     # 4: the earliest of each
     earliest = emitted.groupBy("key", "i").agg(F.min("place").alias("m"), F.count(F.lit(1)).alias("c"))
     whole, part = F.when(F.col("i") == 0, F.col("m")), F.when(F.col("i") > 0, F.struct("m", "i"))
@@ -137,7 +157,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     b_i = F.col("b_i")
     before = F.when(b_i == 0, F.array(found(F.col("part.m"), F.col("part.i"), 1))).otherwise(F.array(found(F.col("m"), b_i, 0), found(F.col("whole"), b_i, -1)))
     bounds = bounds.select("b_key", "b_i", F.filter(before, lambda e: e["e_place"].isNotNull()).alias("before"))
-    pairs = emitted.join(_maybe_small(bounds, 2 + 4 * F.size("before")), (F.col("key") == F.col("b_key")) & (F.col("i") == F.col("b_i")))
+    pairs = emitted.join(_maybe_small(bounds, 6 + 8 * F.size("before")), (F.col("key") == F.col("b_key")) & (F.col("i") == F.col("b_i")))
     pairs = pairs.select("h", "place", F.explode("before").alias("e")).where("e.e_place < place").groupBy("h", F.col("e.e_place").alias("e_place"), F.col("e.kind").alias("kind")).agg(F.min("e.at").alias("at"))
     # 5: verify
     one, two = again.select("h", "x"), again.select(F.col("place").alias("p_place"), F.col("x").alias("e_x"))
@@ -148,7 +168,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # common lines are few, and are looked up apart, so that no task gets all rows of one
     total = judged.agg(F.sum("c")).first()[0] or 0
     common = judged.where(F.col("c") > max(100, total // COMMON)).select(F.col("f_h").alias("o_h"), F.col("f_place").alias("o_place"), F.col("near").alias("o_near"))
-    rows = _units(wanted).select("doc_id", "line", F.when(F.col("x").isNotNull(), F.xxhash64("x")).alias("h"), F.when(F.col("doc_id").isNotNull(), _place()).alias("place"))
+    rows = _units(wanted).select("doc_id", "line", F.when(F.col("x") != "", F.xxhash64("x")).alias("h"), F.when(F.col("doc_id").isNotNull(), _place()).alias("place"))
     rows = rows.join(F.broadcast(common), F.col("h") == F.col("o_h"), "left")
     rows = rows.withColumn("r_h", F.when(F.col("o_h").isNull(), F.col("h")))
     rows = rows.join(judged.where(F.col("c") <= max(100, total // COMMON)), F.col("r_h") == F.col("f_h"), "left")
@@ -156,7 +176,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = F.coalesce(F.col("place") != own_first, F.lit(False))
     close = F.coalesce(own_near & F.col("place").isNotNull(), F.lit(False)) & ~exact
     gone = F.when(exact | close, F.struct("line", "h"))
-    return rows.groupBy("doc_id").agg(F.count("line").alias("n_units"), F.count_if(exact).alias("n_exact"), F.count_if(close).alias("n_near"), F.array_sort(F.collect_set(gone)).alias("gone"))
+    return rows.groupBy("doc_id").agg(F.count("h").alias("n_units"), F.count_if(exact).alias("n_exact"), F.count_if(close).alias("n_near"), F.array_sort(F.collect_set(gone)).alias("gone"))
 
 
 def one_edit(a: Column, b: Column, at: Column, kind: Column) -> Column:
