@@ -35,9 +35,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op2.find_pii(_read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    every = F.array_sort(F.concat("base", plain("more")))
+    # spans and their digest have the kinds of the base patterns; secrets are counted beside them
+    secret = F.lit(op2.ALL.index("secret"))
+    listed = F.array_sort(F.concat("base", plain(F.filter("more", lambda s: s["k"] != secret))))
     digest = F.sha2(op2.joined(F.col("base")).cast("binary"), 256)
-    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(op2.KINDS)], digest.alias("base_sha256"), op2.joined(every).alias("spans"))
+    found = found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(op2.KINDS)], digest.alias("base_sha256"), op2.joined(listed).alias("spans"), "base", "more")
+    more = F.size("more").cast("long")
+    return found.select(*found.columns[:-2], more.alias("n_added"), F.size(F.filter("more", lambda s: s["k"] == secret)).cast("long").alias("n_secret"), (F.size("base").cast("long") + more).alias("n_found"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

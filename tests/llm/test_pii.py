@@ -57,10 +57,43 @@ def test_digest(spark, model):
 
 def test_method_adds_and_leaves_clean_alone(spark, model):
     texts = ["write to jane.doe [at] example [dot] org today", "call 555-010-9999 now, phone 555-123-4567", "the 3 of 12 at 10:30 on 2024-05-06", "at the end. of it", "order 1234-5678 version 1.2.3", "card: 4111.1111.1111.1111"]
-    got = {r["doc_id"]: [pii.KINDS[m["k"]] for m in r["more"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    got = {r["doc_id"]: [pii.ALL[m["k"]] for m in r["more"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
     assert got[0] == ["email"] and "phone" in got[1] and got[2] == got[3] == got[4] == [] and got[5] == ["card"]
 
 
+#: Spans that the base patterns miss, and texts that only look like them; written apart from the training templates.
+PLANTED = [
+    ("email", "You can reach maria.lopez [at] uni-bonn [dot] de before noon"), ("email", "e-mail: support(at)shop.example.org please"), ("email", "contact j.smith at gmail dot com for tickets"), ("email", "mail to anna [at] web [dot] net"),
+    ("phone", "Please call (212) 555-0187 after six"), ("phone", "tel. 415-555-0132, ask for Kim"), ("phone", "my mobile 0049 171 555 0199 is off"), ("phone", "phone: 303.555.0114"), ("phone", "fax 206 555 0178 only"),
+    ("card", "card 4111.1111.1111.1111 exp 12/29"), ("card", "visa 5500/0000/0000/0004 was charged"), ("card", "credit card: 4242 - 4242 - 4242 - 4242"),
+    ("ip", "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is down"), ("ip", "host fe80:0:0:0:202:b3ff:fe1e:8329 answered"), ("ip", "address 2a00:1450:4001:81b:0:0:0:200e"),
+    ("secret", 'Thstorti token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" thhantou'), ("secret", "export API_KEY=sk_live51HabcdEFGH1234ijkl"), ("secret", "password: Xk29vTq81LmZ"), ("secret", "client_secret: 'b7f1c9d2e4a65f7788990011aabbccdd'"), ("secret", "auth_token=ZXhhbXBsZTEyMzQ1Njc4OTA"),
+]
+CLEAN = [
+    "the 3 of 12 at 10:30:15 on 2024-05-06", "look at example. Then go", "order 4111.1111.1111.1112 shipped", "version 10.2.3 build 1234 5678", "see page 555 1234", "12:30:45:10:22", "the secret is safe", "password: forgotten", "token: something",
+    "key = value", "invoice 2024-0099-1234", "we met at the station. Dot by dot", "00:1a:2b:3c:4d:5e", "ratio 1:2:3:4", "ISBN 978 3 16", "the key is under the mat", "meet at noon. com", "total 1234 5678 9012",
+]
+
+
+def test_planted_spans_beyond_base(spark, model):
+    """Of spans that the base patterns miss nine in ten are found; texts without any are left alone."""
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(PLANTED)] + [(1000 + i, t) for i, t in enumerate(CLEAN)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["base"], {pii.ALL[m["k"]] for m in r["more"]}) for r in pii.find_pii(df, model).collect()}
+    assert all(not got[i][0] for i in range(len(PLANTED)))
+    caught = [kind in got[i][1] for i, (kind, _) in enumerate(PLANTED)]
+    assert sum(caught) >= 0.9 * len(PLANTED), [t for (_, t), c in zip(PLANTED, caught) if not c]
+    wrong = [CLEAN[i - 1000] for i in got if i >= 1000 and got[i][1]]
+    assert len(wrong) <= 0.1 * len(CLEAN), wrong
+
+
+def test_thresholds_follow_precision():
+    import numpy as np
+
+    p, t = np.array([0.99, 0.9, 0.9, 0.8, 0.7, 0.6]), np.array([1, 1, 1, 1, 0, 1.0])
+    assert pii._threshold(p, t, 0.98) == 0.8 and pii._threshold(p, t, 0.8) == 0.6 and pii._threshold(p, np.zeros(6), 0.98) > 1
+    assert pii._threshold(np.zeros(0), np.zeros(0)) > 1
+
+
 def test_redaction(spark, model):
     df = spark.createDataFrame([(1, "bob@ex.com 日本 10.0.0.1!"), (2, None), (3, "none")], "doc_id int, text string")
     assert {r["doc_id"]: (r["text"], r["n_redacted"]) for r in pii.redact(df, model).collect()} == {1: ("[EMAIL] 日本 [IP]!", 2), 2: ("", 0), 3: ("none", 0)}
@@ -75,3 +108,15 @@ def test_any_rows(spark, model):
 def test_only_expressions(spark, model):
     plan = pii.find_pii(table(spark), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_expression_is_the_model(spark, model):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.column_stack([r.integers(0, len(pii.ALL), 200), r.integers(0, 30, (200, len(pii.FEATURES) - 1))]).astype(float)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "i int, v array<double>")
+    for k in range(len(pii.ALL)):
+        own = np.flatnonzero(x[:, 0] == k)
+        got = df.where(F.col("i").isin(own.tolist())).orderBy("i").select(model.column({n: F.col("v")[j] for j, n in enumerate(pii.FEATURES)}, k).alias("p")).collect()
+        assert np.allclose([g["p"] for g in got], model.probability(x[own]), rtol=1e-9)
