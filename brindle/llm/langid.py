@@ -30,7 +30,6 @@ class Settings:
     rate: float = 12.0
     batch: int = 32
     per_language: int = 400  # bound of the training sample, by language
-    languages: int = 500  # the most frequent labels are learned, up to so many
     held: float = 0.25  # share of the sample that calibrates
     seed: int = 7
 
@@ -38,7 +37,8 @@ class Settings:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # class scores of each bucket
+    table: np.ndarray  # class scores of each bucket; with more languages than an embedding is wide, its embedding
+    out: np.ndarray | None  # what turns an averaged embedding into class scores; None if the table has them
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -93,17 +93,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], s: Settings) -> Model:
-    """x: counts of buckets by row; y: numbers of languages."""
+def train(sparse: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list[str], s: Settings) -> Model:
+    """sparse: buckets and their counts of each row; y: numbers of languages.  Rows are dense only a batch at a time."""
     rng = np.random.default_rng(s.seed)
-    x = x / np.maximum(x.sum(axis=1, keepdims=True), 1)
-    order = rng.permutation(len(x))
-    held = order[: int(len(x) * s.held)] if len(x) >= 20 else order
-    learn = order[len(held) :] if len(x) >= 20 else order
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), s.buckets), np.float32)
+        for k, r in enumerate(rows):
+            ids, n = sparse[r]
+            x[k, ids] = n / max(n.sum(), 1)
+        return x
+
+    size = len(sparse)
+    order = rng.permutation(size)
+    held = order[: int(size * s.held)] if size >= 20 else order
+    learn = order[len(held) :] if size >= 20 else order
     e = rng.uniform(-1, 1, (s.buckets, s.width)).astype(np.float32)
     w = np.zeros((s.width, len(languages)), np.float32)
     b = np.zeros(len(languages), np.float32)
-    goal = np.eye(len(languages), dtype=np.float32)[y]
     steps, done = max(1, s.epochs * -(-len(learn) // s.batch)), 0
     for _ in range(s.epochs):
         rng.shuffle(learn)
@@ -111,14 +118,16 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], s: Settings) -> Mo
             rows = learn[k : k + s.batch]
             rate = s.rate * (1 - done / steps)
             done += 1
-            h = x[rows] @ e
-            g = (_softmax(h @ w + b) - goal[rows]) / len(rows)
-            back = x[rows].T @ (g @ w.T)
+            x = dense(rows)
+            h = x @ e
+            g = _softmax(h @ w + b)
+            g[np.arange(len(rows)), y[rows]] -= 1
+            g /= len(rows)
+            back = x.T @ (g @ w.T)
             w -= rate * (h.T @ g)
             b -= 0.1 * rate * g.sum(axis=0)
             e -= rate * back
-    table = e @ w
-    raw = x[held] @ table + b
+    raw = np.concatenate([dense(held[k : k + 256]) @ e @ w + b for k in range(0, len(held), 256)]) if len(held) else np.zeros((0, len(languages)))
     heats = np.geomspace(0.05, 5, 60)
     loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
@@ -126,17 +135,23 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], s: Settings) -> Mo
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
     least = 1 / len(languages)
     floor = float(np.quantile(right, 0.002)) if len(right) else 1.0
-    return Model(languages, table.astype(np.float32), b, heat, min(max(0.8 * floor, 1.05 * least), 0.5))
+    folded = len(languages) <= s.width
+    return Model(languages, (e @ w if folded else e).astype(np.float32), None if folded else w, b, heat, min(max(0.8 * floor, 1.05 * least), 0.5))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, settings: Settings = Settings()) -> Model:
-    """A model of rows with text and label.  It learns from a sample of at most about 1.25 * per_language rows of each label, chosen by the hash of `key` (the text if None)."""
+    """A model of rows with text and label.  
+
+    It learns all labels, each from a sample of at most about 1.25 * per_language rows, chosen
+    by the hash of `key` (the text if None).  Rows without text or label don't count; equal
+    rows are chosen together, and the order of rows makes no difference.
+    """
     s = settings
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.xxhash64(key) if key is not None else F.xxhash64(text_col)).alias("h")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
-        return Model([], np.zeros((s.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+        return Model([], np.zeros((s.buckets, 0), np.float32), None, np.zeros(0, np.float32), 1.0, 1.0)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.25 * s.per_language / r["count"]))])
     chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)).select("text", "lang")
 
@@ -148,11 +163,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
 
     got = chosen.mapInArrow(run, "lang string, ids binary, n binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["ids"], r["n"]))
-    x = np.zeros((len(got), s.buckets), np.float32)
-    for row, r in zip(x, got):
-        row[np.frombuffer(r["ids"], "<i4")] = np.frombuffer(r["n"], "<f4")
+    sparse = [(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
     at = {name: k for k, name in enumerate(languages)}
-    return train(x, np.array([at[r["lang"]] for r in got], dtype=int), languages, s)
+    return train(sparse, np.array([at[r["lang"]] for r in got], dtype=int), languages, s)
 
 
 def has_letter(text: str) -> bool:
@@ -182,11 +195,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 many = np.diff(begin)
                 of = np.concatenate(([0], np.cumsum(many[inverse], dtype=np.int64)))
                 n = np.maximum(of[rows[1:]] - of[rows[:-1]], 1)
-                raw = np.empty((batch.num_rows, len(m.languages)))
-                for k in range(len(m.languages)):
+                raw = np.empty((batch.num_rows, m.table.shape[1]))
+                for k in range(m.table.shape[1]):
                     word = np.add.reduceat(m.table[ids, k].astype(np.float64), begin[:-1]) if len(ids) else np.zeros(0)
                     total = np.concatenate(([0.0], np.cumsum(word[inverse])))
-                    raw[:, k] = (total[rows[1:]] - total[rows[:-1]]) / n + m.bias[k]
+                    raw[:, k] = (total[rows[1:]] - total[rows[:-1]]) / n
+                raw = (raw if m.out is None else raw @ m.out) + m.bias
                 p = _softmax(raw / m.temperature)
                 best, score = p.argmax(axis=1), p.max(axis=1)
             names = [m.languages[b] if good else UNKNOWN for b, good in zip(best, ok)]

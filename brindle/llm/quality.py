@@ -64,34 +64,42 @@ def train(ids: np.ndarray, begin: np.ndarray, shape: np.ndarray, y: np.ndarray,
     """Logistic regression by Adam on all rows but each fifth, which calibrates."""
     n = len(y)
     row = np.repeat(np.arange(n), np.diff(begin))
+    used, ids = np.unique(ids, return_inverse=True)  # only buckets that occur are trained
+    words = len(used)
     mean, spread = (shape.mean(axis=0), shape.std(axis=0) + 1e-6) if n else (np.zeros(_SHAPES), np.ones(_SHAPES))
     z = np.clip((shape - mean) / spread, -4, 4)
     own = 1 / np.sqrt(np.maximum(np.diff(begin), 1.0))
     learn = np.arange(n) % 5 != 0 if n >= 50 else np.ones(n, bool)
-    rarity = np.bincount(ids, minlength=BUCKETS) >= 3
-    w, v, b = np.zeros(BUCKETS), np.zeros(_SHAPES), 0.0
-    m1, m2 = np.zeros(BUCKETS + _SHAPES + 1), np.zeros(BUCKETS + _SHAPES + 1)
+    rarity = np.bincount(ids, minlength=words) >= 3
+    w, v, b = np.zeros(words), np.zeros(_SHAPES), 0.0
+    m1, m2 = np.zeros(words + _SHAPES + 1), np.zeros(words + _SHAPES + 1)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) if n else np.ones(0)
     margin = lambda: np.bincount(row, weights=w[ids], minlength=n) * own + z @ v + b
     for t in range(1, steps + 1 if n else 0):
         g = np.where(learn, (1 / (1 + np.exp(-np.clip(margin(), -30, 30))) - y) * balance, 0) / learn.sum()
-        grad = np.concatenate((np.bincount(ids, weights=(g * own)[row], minlength=BUCKETS) * rarity + decay * w, z.T @ g, [g.sum()]))
+        grad = np.concatenate((np.bincount(ids, weights=(g * own)[row], minlength=words) * rarity + decay * w, z.T @ g, [g.sum()]))
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
-        w, v, b = w - step[:BUCKETS], v - step[BUCKETS:-1], b - step[-1]
+        w, v, b = w - step[:words], v - step[words:-1], b - step[-1]
     slope, shift = 1.0, 0.0
     x, t_ = margin()[~learn], y[~learn]
     for _ in range(300 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
         slope -= 0.05 * float(((p - t_) * x).mean())
         shift -= 0.05 * float((p - t_).mean())
-    return Model(np.concatenate((w, v)).astype(np.float32), float(b), mean, spread, max(slope, 0.1), shift)
+    full = np.zeros(BUCKETS)
+    full[used] = w
+    return Model(np.concatenate((full, v)).astype(np.float32), float(b), mean, spread, max(slope, 0.1), shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> Model:
     """A model of the documents that labels has; good: the condition on labels (a Column) that a document is good.
 
-    It learns from at most about PER_CLASS rows of each class, chosen by the hash of the id.
+    It learns from at most about PER_CLASS rows of each class, chosen by the hash of the id, and
+    from at most 4 * PER_CLASS documents, the first by the hashes of id and words, if documents
+    repeat ids.  A repeated label is good if one of its rows is; null ids and labels don't count.
+    Null and empty texts are documents without words.  Nothing to learn from gives a model
+    that finds all alike.
     """
     labelled = labels.select(F.col(label_id).alias("l_id"), good.cast("int").alias("good")).where("l_id IS NOT NULL AND good IS NOT NULL")
     labelled = labelled.groupBy("l_id").agg(F.max("good").alias("good"))
@@ -106,9 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id"
             parts = [ids[a:b].astype("<i4").tobytes() for a, b in zip(begin[:-1], begin[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(parts, pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary())], names=["key", "good", "ids", "shape"])
 
-    got = rows.mapInArrow(run, "key string, good int, ids binary, shape binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["key"], r["ids"]))
-    got = got[: 4 * PER_CLASS]  # ids that repeat could make more
+    counted = rows.mapInArrow(run, "key string, good int, ids binary, shape binary")
+    # ids that repeat could make more rows than that: the bound holds before anything comes to the driver
+    got = counted.orderBy(F.xxhash64("key"), F.xxhash64("ids")).limit(4 * PER_CLASS).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["key"], r["ids"], r["shape"], r["good"]))
     ids = [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in got]
     begin = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64)
     shape = np.array([np.frombuffer(r["shape"]) for r in got]).reshape(-1, _SHAPES)
@@ -142,7 +151,9 @@ def _strength(mean: float, spread: float) -> float:
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5) -> DataFrame:
     """One row a document: doc_id, evidence, host_posterior, path_posterior, score, kept (score >= threshold).
 
-    A document's own evidence is left out of its site's means.  Null hosts are one host, null
+    Where documents have no URL, as here, the defaults stand in: the source for the host and
+    the language for the path (a group within the host); from a URL, give its host and the
+    first part of its path as columns.  A document's own evidence is left out of its site's means.  Null hosts are one host, null
     paths one path of their host.  Null or empty text has evidence 0, so isn't kept.
     Repeated rows count and are scored each; other columns are left aside; an empty table
     gives an empty result.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine (tests) a folder of our own where that is unset."""
     jsc = spark.sparkContext._jsc.sc()
     known = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if not known and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = known or "file://" + tempfile.mkdtemp(prefix="brindle-checkpoint-")
         spark.sparkContext.setCheckpointDir(known)
     if not known:

@@ -48,3 +48,33 @@ def test_any_rows(spark):
 def test_nothing_to_learn(spark):
     df = made(spark, 20).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.predict(df, langid.fit(df)).collect()} == {"und"}
+
+
+def plain_scores(text, model, buckets):
+    """Class probabilities from a text's subwords one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    counted = langid.features(pa.array([text]), buckets)[0].astype(float)
+    mean = (counted / max(counted.sum(), 1)) @ model.table.astype(float)
+    raw = ((mean if model.out is None else mean @ model.out) + model.bias) / model.temperature
+    e = np.exp(raw - raw.max())
+    return e / e.sum()
+
+
+def test_prediction_against_plain_sums(spark):
+    """Each row's label and score are those of its own subwords, with as many languages as an embedding is wide and with more."""
+    df = made(spark, 200)
+    for settings in (langid.Settings(), langid.Settings(width=2)):
+        model = langid.fit(df, key=F.col("doc_id"), settings=settings)
+        assert (model.out is None) == (settings.width >= 3)
+        text = {r["doc_id"]: r["text"] for r in df.collect()}
+        for r in langid.predict(df, model).collect():
+            p = plain_scores(text[r["doc_id"]], model, settings.buckets)
+            assert r["lang_pred"] == model.languages[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-4 and r["accepted"] == (r["score"] >= model.threshold)
+
+
+def test_many_labels_are_all_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 30 % 10]}{i % 30}word " * 5, f"l{i % 30}") for i in range(600)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), key=F.col("doc_id"))
+    assert len(model.languages) == 30 and model.out is not None

@@ -57,3 +57,35 @@ def test_nothing_labelled(spark):
     docs, labels, _ = labelled(spark, 10)
     model = quality.fit(docs, labels.where("false"), F.col("quality") == 1)
     assert quality.quality(docs, model).count() == 10
+
+
+def test_posteriors_against_plain_python(spark):
+    """Site posteriors and scores from each document's evidence, document by document."""
+    import math
+
+    df = table(spark, 40)
+    model = quality.fit(df, df.selectExpr("doc_id", "doc_id % 2 AS quality").where("doc_id IS NOT NULL"), F.col("quality") == 1)
+    rows = [(r["doc_id"], r["source"], r["lang"], r["evidence"]) for r in quality.evidence(df, model, keep=(("source", "source"), ("lang", "lang"))).collect()]
+    hosts, paths = {}, {}
+    for _, h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    every = [e for *_, e in rows]
+    prior = min(max(sum(every) / len(every), 1e-3), 1 - 1e-3)
+    mean = lambda x: sum(x) / len(x)
+
+    def spread(groups, centre):
+        got = [(mean(g) - centre(k)) ** 2 - (mean([v * v for v in g]) - mean(g) ** 2) / len(g) for k, g in groups.items() if len(g) > 1]
+        return mean(got) if got else 0.0
+
+    host_prior = quality._strength(prior, spread(hosts, lambda k: prior))
+    path_prior = quality._strength(prior, spread(paths, lambda k: mean(hosts[k[0]])))
+    odds = lambda v: math.log(min(max(v, 1e-6), 1 - 1e-6) / (1 - min(max(v, 1e-6), 1 - 1e-6)))
+    want = []
+    for i, h, p, e in rows:
+        host = (host_prior * prior + sum(hosts[h]) - e) / (host_prior + len(hosts[h]) - 1)
+        path = (path_prior * host + sum(paths[(h, p)]) - e) / (path_prior + len(paths[(h, p)]) - 1)
+        score = 1 / (1 + math.exp(-(odds(e) + odds(path) - odds(prior)))) if e > 0 else 0.0
+        want.append((i, round(host, 6), round(path, 6), round(score, 6)))
+    got = [(r["doc_id"], round(r["host_posterior"], 6), round(r["path_posterior"], 6), round(r["score"], 6)) for r in quality.quality(df, model).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
