@@ -25,6 +25,7 @@ class Rule:
     exclude: tuple[str, ...] = ()
     max_occurrences: int = 1
     sentence_break: int = 0
+    match_mode: str = "token"  # of phrases: token stands alone, substring anywhere
     literals: tuple[str, ...] = field(default=())  # one of them is in every text that matches
 
 
@@ -57,6 +58,10 @@ def problems(rules: list[Rule], policy: Policy) -> list[str]:
             out.append(f"{r.id}: needs a pattern or phrases")
         if r.action not in ("score", "block") or r.view not in VIEWS or not set(r.segments) <= set(KINDS):
             out.append(f"{r.id}: unknown action, view or segment")
+        if r.match_mode not in ("token", "substring"):
+            out.append(f"{r.id}: unknown match mode")
+        if generic := [p for p in r.phrases if len(re.findall(r"\w+", p)) < 2 and len(p) < 12]:
+            out.append(f"{r.id}: phrases too generic: {generic}")
         if not math.isfinite(r.weight) or r.weight < 0 or not 1 <= r.max_occurrences <= 64:
             out.append(f"{r.id}: bad weight or occurrences")
         for p in (r.pattern, *r.exclude):
@@ -99,6 +104,7 @@ def load(folder: str) -> tuple[list[Rule], Policy]:
         rules += [filled(Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()})) for r in doc.get("rules", ())]
         if "policy" in doc:
             p = dict(doc["policy"])
+            p.setdefault("review_threshold", min(Policy.review_threshold, 0.75 * p["block_threshold"]) if "block_threshold" in p else Policy.review_threshold)
             for k in ("segment_multipliers", "view_multipliers"):
                 p[k] = tuple(sorted(p.get(k, {}).items()))
             policies.append(Policy(**p))
