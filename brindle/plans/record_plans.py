@@ -62,13 +62,13 @@ _OP_NAME = "CASE WHEN trim(name) = '' THEN 'operation' ELSE name END"
 
 
 @query(f"WITH {_OPS_SQL} SELECT op, started AS at, concat({_OP_NAME}, '.started') AS event, 'INFO' AS level, CAST(NULL AS BIGINT) AS duration_ms FROM o WHERE NOT quiet UNION ALL SELECT op, ended, concat({_OP_NAME}, CASE WHEN error IS NULL THEN '.succeeded' ELSE '.failed' END), CASE WHEN error IS NULL THEN 'INFO' ELSE 'ERROR' END, (ended - started) // 1000 FROM o WHERE ended IS NOT NULL")
-def operation_events(spark, sf_dir):
+def log_operation_events(spark, sf_dir):
     rows = events(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in _OPS.items()])
     return records.operation_events(rows, "name", "started", "ended", "error", "quiet").select("op", "at", "event", "level", "duration_ms")
 
 
 @query(f"WITH {_OPS_SQL} SELECT op, CASE WHEN error IS NULL THEN 'succeeded' ELSE 'failed' END AS outcome, ended - started AS duration_us FROM o WHERE ended IS NOT NULL AND NOT quiet")
-def operation_durations(spark, sf_dir):
+def log_operation_durations(spark, sf_dir):
     rows = events(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in _OPS.items()])
     return records.operation_durations(records.operation_events(rows, "name", "started", "ended", "error", "quiet"), "op", "event", "at")
 
@@ -121,7 +121,7 @@ def reissue_ladder(spark, sf_dir):
 
 
 @query("SELECT event_id, event_id % 4 = 0 OR event_id % 5 IN (0, 1) AS open_chat FROM events")
-def open_chats(spark, sf_dir):
+def room_open_chats(spark, sf_dir):
     kind, link = F.expr("CASE event_id % 5 WHEN 0 THEN ' om' WHEN 1 THEN 'OD' WHEN 2 THEN 'MultiChat' WHEN 3 THEN '' END"), F.expr("CASE WHEN event_id % 4 = 0 THEN '77' WHEN event_id % 4 = 1 THEN '  ' END")
     return table(spark, sf_dir, "events").select("event_id", wire.open_chat(kind, link).alias("open_chat"))
 
