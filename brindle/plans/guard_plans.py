@@ -40,12 +40,20 @@ def guard_enforcement(spark, sf_dir):
     return rows.withColumn("rejected", textguard.rejects(F.col("enforcement"), F.col("decision"))).groupBy("enforcement", "decision", "rejected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: What the planted phrases alone score, by hand from the rules' weights: (score, families, rules).
+_HELD = {k: ("2.0", "override", "override_en,override_joined_en") for k in range(4)} | {4: ("0.6", "role", "role_play_en"), 5: ("1.1", "mode,role", "role_play_en,mode_switch_en"), 7: ("1.0", "prompt_exfil", "exfil_prompt_en"), 8: ("1.2", "jailbreak,role", "role_play_en,phrases_en")}
+
+
+def _held(i: int, none: str) -> str:
+    return "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {v[i] if i == 0 else _quoted(v[i])}" for k, v in _HELD.items()) + f" ELSE {none} END"
+
+
+@query(f"SELECT doc_id, CAST({_held(0, '0.0')} AS DOUBLE) AS score, {_held(1, chr(39) * 2)} AS families, {_held(2, chr(39) * 2)} AS rules, '' AS limits FROM documents")
 def guard_hits(spark, sf_dir):
     return _guarded(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"), F.array_join("families", ",").alias("families"), F.array_join("rule_ids", ",").alias("rules"), F.array_join("decode_limits", ",").alias("limits"))
 
 
-@query()
+@query(f"SELECT source, family, count(*) AS n FROM (SELECT source, unnest(string_split({_held(1, 'NULL')}, ',')) AS family FROM documents) GROUP BY ALL")
 def guard_family_rollup(spark, sf_dir):
     return _guarded(spark, sf_dir).select("source", F.explode("families").alias("family")).groupBy("source", "family").agg(F.count(F.lit(1)).alias("n"))
 
