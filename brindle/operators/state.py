@@ -82,6 +82,11 @@ def backoff(base: Column, limit: Column, attempt: Column) -> Column:
     return F.when((base <= 0) | (limit <= 0), F.lit(0).cast("long")).when(base >= F.call_function("shiftright", limit, doublings.cast("int")), limit).otherwise(F.call_function("shiftleft", base, doublings.cast("int")))
 
 
+def store_backoff(base: Column, limit: Column, attempts: Column, most_doublings: int = 8) -> Column:
+    """The delay before a stored row is tried again: base doubled with each attempt, at most `most_doublings` times, at most limit."""
+    return backoff(base, limit, F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(most_doublings)))
+
+
 def retries(df: DataFrame, attempts: Column, base: Column, limit: Column) -> DataFrame:
     """One row for each attempt of a row: attempt (from 1), delay before it and waited so far."""
     delays = F.transform(F.sequence(F.lit(1), F.greatest(attempts, F.lit(1))), lambda i: F.struct(i.alias("attempt"), F.when(i == 1, F.lit(0).cast("long")).otherwise(backoff(base, limit, i - 2)).alias("delay")))

@@ -88,9 +88,9 @@ def text_segments(spark, sf_dir):
     return textguard.segment_rows(rows, "doc_id").select(F.col("id").alias("doc_id"), "seg_no", "kind", "raw")
 
 
-@query("WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, string_agg(right(text, 40), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS tail FROM conversations) SELECT conv_id, turn, CASE WHEN before IS NULL THEN NULL ELSE concat(right(tail, 40), chr(57600), left(text, 40)) END AS window_text FROM t")
+@query("WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, string_agg(right(text, 256), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING) AS tail FROM conversations) SELECT conv_id, turn, CASE WHEN before IS NULL THEN NULL ELSE concat(right(tail, 256), chr(57600), left(text, 256)) END AS window_text FROM t")
 def boundary_windows(spark, sf_dir):
-    rows = textguard.boundary_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 40)
+    rows = textguard.boundary_windows(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
     return rows.select("conv_id", "turn", F.col("window").alias("window_text"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import records, wire
-from ..operators import metrics, outbox as outbox_ops, queue, state, validate
+from ..operators import metrics, outbox as outbox_ops, queue, state, textguard, validate
 from .fixtures import AS_OF, DAY, EVENTS_SQL, INBOX_SQL, OUTBOX_SQL, events, inbox, outbox
 from .registry import query, table
 
@@ -237,3 +237,43 @@ def settings_problems(spark, sf_dir):
 def registration_seal(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").selectExpr("concat('n', CAST(n_nationkey AS STRING)) AS worker", "CASE WHEN n_regionkey % 2 = 0 THEN 'go' ELSE 'jvm' END AS runtime")
     return validate.sealed_problems(rows, [f"n{i}" for i in range(30)])
+
+
+@query("SELECT filename, min(t) AS applied_at FROM (SELECT concat('f', CAST(n_nationkey % 20 AS STRING), '.sql') AS filename, n_nationkey * 10 AS t FROM nation UNION ALL SELECT concat('f', CAST(n_nationkey AS STRING), '.sql'), 5 + n_nationkey FROM nation WHERE n_nationkey % 3 = 0) GROUP BY filename")
+def ledger_record(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    ledger = nations.selectExpr("concat('f', CAST(n_nationkey % 20 AS STRING), '.sql') AS filename", "n_nationkey * 10 AS applied_at")
+    applied = nations.where("n_nationkey % 3 = 0").selectExpr("concat('f', CAST(n_nationkey AS STRING), '.sql') AS filename", "5 + n_nationkey AS applied_at")
+    return validate.record(ledger, applied)
+
+
+_FROM = "CASE event_id % 5 WHEN 0 THEN 'user_prompt' WHEN 1 THEN 'chat_log' WHEN 2 THEN 'elsewhere' WHEN 3 THEN NULL ELSE 'image_prompt' END"
+_HOW = "CASE event_id % 4 WHEN 0 THEN 'observe' WHEN 1 THEN 'persistent' WHEN 2 THEN '' ELSE 'interactive' END"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (2, 3) THEN 'source' WHEN event_id % 4 = 2 THEN 'enforcement' END AS problem FROM events")
+def guard_request_problems(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{_FROM} AS source", f"{_HOW} AS how")
+    return rows.select("event_id", textguard.request_problem(F.col("source"), F.col("how")).alias("problem"))
+
+
+@query("WITH r AS (SELECT event_id, list_sort(list_distinct([concat('r', CAST((event_id * j) % 23 AS STRING)) FOR j IN range(0, 1 + event_id % 25)] || [event_type])) AS x FROM events) SELECT event_id, array_to_string(x[1:16], ',') AS rules, CAST(greatest(len(x) - 16, 0) AS INT) AS truncated FROM r")
+def guard_log_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "array(event_type) AS families", "transform(sequence(0, CAST(event_id % 25 AS INT)), j -> concat('r', CAST((event_id * j) % 23 AS STRING))) AS ids")
+    shown, more = textguard.blocked_rules(F.col("families"), F.col("ids"))
+    return rows.select("event_id", F.array_join(shown, ",").alias("rules"), more.alias("truncated"))
+
+
+@query("SELECT event_id, CASE WHEN l >= 8 THEN concat('ERROR', CASE WHEN l > 8 THEN concat('+', CAST(l - 8 AS STRING)) ELSE '' END) WHEN l >= 4 THEN concat('WARN', CASE WHEN l > 4 THEN concat('+', CAST(l - 4 AS STRING)) ELSE '' END) WHEN l >= 0 THEN concat('INFO', CASE WHEN l > 0 THEN concat('+', CAST(l AS STRING)) ELSE '' END) ELSE concat('DEBUG', CASE WHEN l > -4 THEN concat('+', CAST(l + 4 AS STRING)) WHEN l < -4 THEN CAST(l + 4 AS STRING) ELSE '' END) END AS level, least(200 * CAST(pow(2, least(greatest(l + 5, 0), 8)) AS BIGINT), 20000) AS delay FROM (SELECT event_id, event_id % 19 - 6 AS l FROM events)")
+def log_levels_and_delays(spark, sf_dir):
+    level = F.col("event_id") % 19 - 6
+    return table(spark, sf_dir, "events").select("event_id", records.level_text(level).alias("level"), state.store_backoff(F.lit(200).cast("long"), F.lit(20000).cast("long"), level + 6).alias("delay"))
+
+
+_ATTRS = "concat('{\"user\": \"u', CAST(event_id AS STRING), '\", \"api_key\": \"k\", \"key\": \"', CASE WHEN event_id % 2 = 0 THEN 'sk_1' ELSE 'plain' END, '\", \"in\": {\"password\": {\"a\": 1}, \"n\": ', CAST(event_id AS STRING), ', \"url\": \"http://u:p@h/x\"}}')"
+
+
+@query("SELECT event_id, concat('user=u', CAST(event_id AS STRING), '|api_key=***REDACTED***|key=', CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE 'plain' END, '|in.password=***REDACTED***|in.n=', CAST(event_id AS STRING), '|in.url=http://***REDACTED***@h/x') AS attrs FROM events")
+def masked_attributes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{_ATTRS} AS doc")
+    return rows.select("event_id", _joined(records.masked_json(F.col("doc"), 3)).alias("attrs"))
