@@ -16,7 +16,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _BOILERPLATE = re.compile(
-    r"all rights reserved|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie|click here|subscribe|sign (?:in|up)|log ?in\b|enable javascript|read more|share this|copyright|©",
+    r"all rights reserved|terms (?:of|and) (?:use|service|conditions)|privacy policy|cookie|click here|subscribe|sign (?:in|up)|log ?in\b|enable javascript|read more|share this|copyright|©"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|impressum|hier klicken|jetzt anmelden|newsletter|weiterlesen"
+    r"|todos los derechos reservados|términos de uso|política de privacidad|aviso legal|haga clic aquí|iniciar sesión|suscríbete|leer más"
+    r"|tous droits réservés|conditions d.utilisation|politique de confidentialité|mentions légales|cliquez ici|se connecter|abonnez-vous|lire la suite",
     re.IGNORECASE,
 )
 _NAVIGATION = re.compile(r"(?:^|\s)(?:\||»|›|>|·|•|::)(?=\s|$)")

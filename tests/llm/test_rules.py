@@ -42,3 +42,9 @@ def test_verdicts():
     assert not rules.judge(nav)["kept"] and not rules.judge(loud)["kept"] and not rules.judge(None)["kept"]
     assert rules.judge(prose)["clean_text"] == prose
     assert not rules.judge("\n".join(["The same line with several words stands here again."] * 30))["kept"]
+
+
+def test_boilerplate_in_four_languages():
+    for line in ("All rights reserved 2024", "Alle Rechte vorbehalten", "DATENSCHUTZERKLÄRUNG lesen", "Todos los derechos reservados", "Política de privacidad", "Tous droits réservés", "Conditions d'utilisation"):
+        assert rules.line_fault(line, len(line.split()), rules.LineRules()) == "boilerplate", line
+    assert rules.line_fault("Die Rechte der Leser sind gewahrt", 6, rules.LineRules()) is None
