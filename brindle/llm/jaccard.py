@@ -7,8 +7,10 @@
    leaves a part in which they don't differ at all (of large sets, into fewer parts several
    times; see scheme()); so documents that share no part of equal content need not be
    compared.  Shingles known to be common are left out of the parts where enough others are
-   left.  Sets that do share one are linked provisionally, and connected provisional links
-   give groups.
+   left.  Of parts that few sets share, each pair of these is held against hashed bitmaps of
+   both sets first, and goes if they can't be alike: in a large table chance links would
+   connect most documents.  Other sets that share a part are linked provisionally, and
+   connected provisional links give groups.
 3. A group is compared in tiles of bounded size.  In a tile, members are in order of size;
    each meets only members whose size can reach the threshold and that aren't in its class
    yet.  A hashed bitmap of each set bounds the overlap from above by bit counts; pairs
@@ -40,6 +42,10 @@ WORDS, SHARE = 4, 0.85
 MEET = 40
 #: Words of a bitmap, 64 bits each.
 MAP = 8
+#: Sets that share a part, up to which all pairs of them are held against bitmaps: of parts of one element, and of others.
+FEW_ONE, FEW = 16, 2
+#: Bits of a signature: its part has one element; it stands for more sets than the one it is with.
+ONE, MANY = np.uint64(1), np.uint64(2)
 #: Bytes of text of a tile, about.
 TILE_BYTES = 8 << 20
 
@@ -152,7 +158,8 @@ def _parts(s: np.ndarray, i: int, share: float, name: int) -> tuple[np.ndarray,
     full = np.flatnonzero(many >= how.least)
     few = every - len(full) < how.spare
     sent = full if few or not name else np.arange(every)
-    return mix(content[sent] ^ mix((many[sent].astype(np.uint64) << np.uint64(32)) | sent.astype(np.uint64), 2 * (200 + i) + name), 22), few
+    sig = mix(content[sent] ^ mix((many[sent].astype(np.uint64) << np.uint64(32)) | sent.astype(np.uint64), 2 * (200 + i) + name), 22)
+    return sig & ~(ONE | MANY) | (many[sent] == 1).astype(np.uint64), few
 
 
 def signatures(s: np.ndarray, common: np.ndarray, share: float = SHARE) -> np.ndarray:
@@ -213,6 +220,30 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def whole_map(s: np.ndarray) -> bytes:
+    """A bitmap of two to four bits an element, one word at least."""
+    n = 64
+    while n < 2 * len(s):
+        n *= 2
+    bits = np.zeros(n, np.uint8)
+    bits[(mix(s, 32) & np.uint64(n - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(n_a: int, map_a: bytes, n_b: int, map_b: bytes, share: float = SHARE) -> bool:
+    """Whether sets of these sizes and whole_map()s can be alike; never False if they are."""
+    num, den = _fraction(share)
+    if min(n_a, n_b) * den < max(n_a, n_b) * num:
+        return False
+    a, b = np.frombuffer(map_a, np.uint64), np.frombuffer(map_b, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return both >= least_overlap(n_a, n_b, share)
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common elements of two sorted arrays of distinct values."""
     if len(a) > len(b):
@@ -306,19 +337,41 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.groupBy("x").agg(F.min("y").alias("root")).select(F.col("x").alias("node"), "root")
 
 
-def _same(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of each signature, and the pairs (set of that row, other set) of the other rows."""
-    order, begin = grouped(sig)
-    lead = np.repeat(own[order[begin]], np.diff(np.append(begin, len(sig))))
-    rest = own[order]
-    apart = lead != rest
-    pairs = np.unique(np.stack([lead[apart], rest[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-    return order[begin], pairs
+def _meet(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (signature, set): those whose signature no other set has, and one of each signature that many have; pairs (set of that one, other set) of the latter; and all pairs of sets that share other signatures.
+
+    In the rows, MANY is set where a row stands for many.
+    """
+    key = sig & ~MANY
+    order, begin = grouped(key)
+    count = np.diff(np.append(begin, len(key)))
+    alone = order[begin[count == 1]]
+    order = order[np.repeat(count > 1, count)]
+    order = order[np.lexsort((sig[order], own[order], key[order]))]
+    key, mine, many = key[order], own[order], sig[order] & MANY > 0
+    # equal sets of several tasks are one here
+    first = np.concatenate(([True], (key[1:] != key[:-1]) | (mine[1:] != mine[:-1]))) if len(key) else np.zeros(0, bool)
+    many = np.logical_or.reduceat(many, np.flatnonzero(first)) if len(key) else many
+    order, key, mine = order[first], key[first], mine[first]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(key)))
+    firm = count > np.where(key[begin] & ONE > 0, FEW_ONE, FEW)
+    if len(begin):
+        firm |= np.logical_or.reduceat(many, begin) & (count > 1)
+    rest = np.repeat(firm, count)
+    stars = np.stack([np.repeat(mine[begin], count)[rest], mine[rest]], axis=1)
+    stars = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0)
+    loose, number = mine[~rest], np.repeat(np.arange(len(begin)), count)[~rest]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for k in range(1, max(FEW_ONE, FEW)):
+        same = number[k:] == number[:-k]
+        pairs.append(np.stack([loose[:-k][same], loose[k:][same]], axis=1))
+    return np.concatenate((alone, order[~rest])), order[begin[firm]], stars, np.unique(np.concatenate(pairs), axis=0)
 
 
 def _edges_of(batches):
-    """Provisional links of a bucket's rows (signatures with their sets, and pairs linked before): for each set one to the least of its connected sets here."""
-    sig, own, links = [], [], []
+    """Provisional links of a bucket's rows (signatures with their sets, and pairs linked before): firm ones, for each set one to the least of its connected sets here, and pairs that are yet to be held against bitmaps."""
+    sig, own, links, pairs = [], [], [], None
     for batch in batches:
         for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if a:
@@ -327,17 +380,31 @@ def _edges_of(batches):
             else:
                 links.append(np.frombuffer(b, np.int64).reshape(-1, 2))
     if sig:
-        links.append(_same(np.concatenate(sig), np.concatenate(own))[1])
+        _, _, stars, pairs = _meet(np.concatenate(sig), np.concatenate(own))
+        links.append(stars)
         del sig, own
-    if not links or not sum(map(len, links)):
-        return
-    nodes, flat = np.unique(np.concatenate(links).ravel(), return_inverse=True)
-    found = Classes(len(nodes))
-    for a, b in flat.reshape(-1, 2).tolist():
-        found.join(a, b)
-    root = np.array([found.root(k) for k in range(len(nodes))])
-    keep = root != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], names=["a", "b"])
+    if links and sum(map(len, links)):
+        nodes, flat = np.unique(np.concatenate(links).ravel(), return_inverse=True)
+        found = Classes(len(nodes))
+        for a, b in flat.reshape(-1, 2).tolist():
+            found.join(a, b)
+        root = np.array([found.root(k) for k in range(len(nodes))])
+        keep = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]]), pa.array(np.ones(keep.sum(), bool))], names=["a", "b", "firm"])
+    if pairs is not None and len(pairs):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], names=["a", "b", "firm"])
+
+
+def _held(share: float):
+    """Pairs of rows (a, b, n_a, map_a, n_b, map_b) whose sets can be alike."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, *rest = (c.to_pylist() for c in batch.columns)
+            keep = pa.array([may_be_alike(*x, share) for x in zip(*rest)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
 
 
 def _tiles(share: float, words: int):
@@ -388,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def measure(batches):
         for batch in blocks(batches, "text"):
             sets = batch_shingles(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([whole_map(s) for s in sets], pa.binary())], names=["doc_id", "text_hash", "n", "sid", "map"])
 
     common = spark.sparkContext.broadcast(common_shingles(wanted, words))
 
@@ -404,9 +471,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not sig:
                 continue
             sig, own = np.concatenate(sig), np.concatenate(own)
-            # of a signature that several sets here have, one stands for all: a bucket gets it once a block, however common it is
-            first, pairs = _same(sig, own)
-            sig, own = sig[first], own[first]
+            # of a signature that many sets here have, one stands for all: a bucket gets it once a block, however common it is
+            some, one, pairs, _ = _meet(sig, own)
+            sig, own = np.concatenate((sig[some], sig[one] | MANY)), own[np.concatenate((some, one))]
             at = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(at, kind="stable")
             edges = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -419,9 +486,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(x, pa.binary()) for x in sent]], names=["bucket", "sig", "own"])
 
-    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, text_hash bigint, n bigint, sid bigint"))
+    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, text_hash bigint, n bigint, sid bigint, map binary"))
     parts = wanted.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "bucket int, sig binary, own binary")
-    provisional = cut(parts.repartitionById(buckets, "bucket").mapInArrow(_edges_of, "a bigint, b bigint"))
+    provisional = cut(parts.repartitionById(buckets, "bucket").mapInArrow(_edges_of, "a bigint, b bigint, firm boolean"))
+    loose = provisional.where("NOT firm").select("a", "b").distinct()
+    asked_for = loose.select(F.col("a").alias("sid")).union(loose.select("b")).distinct()
+    maps = measured.where("doc_id IS NOT NULL AND n > 0").join(asked_for, "sid", "left_semi").groupBy("sid").agg(F.min("n").alias("n"), F.min("map").alias("map"))
+    for side in "ab":
+        loose = loose.join(maps.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("map").alias(f"map_{side}")), side)
+    loose = cut(loose.select("a", "b", "n_a", "map_a", "n_b", "map_b").mapInArrow(_held(share), "a bigint, b bigint"))
+    provisional = provisional.where("firm").select("a", "b").union(loose)
     # groups and their tiles
     grouped = components(provisional).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
     grouped = grouped.union(grouped.select(F.col("grp").alias("sid"), "grp")).distinct()

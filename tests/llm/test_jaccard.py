@@ -151,3 +151,39 @@ def test_few_common_elements_of_large_sets_do_not_meet():
     sets = [np.sort(np.concatenate((shared, r.integers(0, 1 << 63, 5400, dtype=np.uint64)))) for _ in range(12)]
     sent = [jc.signatures(s, np.zeros(0, np.uint64), 0.8) for s in sets]
     assert sum(len(np.intersect1d(a, b)) > 0 for k, a in enumerate(sent) for b in sent[:k]) <= 6
+
+
+def test_chance_links_do_not_connect_unlike_documents(spark, monkeypatch):
+    """Short texts of few words share single shingles by chance: in a large table parts of one shingle would connect most of them."""
+    r = random.Random(11)
+    word = lambda: "abcdefgh"[r.randrange(8)]
+    texts = [" ".join(word() for _ in range(40)) for _ in range(4000)]
+    near = {}
+    for k in range(0, 400, 10):
+        near[len(texts)] = k
+        texts.append(texts[k] + " i")
+    sizes = []
+
+    def spied(edges, whole=jc.components):
+        out = whole(edges)
+        sizes.append(max((x["count"] + 1 for x in out.where("node <> root").groupBy("root").count().collect()), default=1))
+        return out
+
+    monkeypatch.setattr(jc, "components", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x["component_id"] for x in jc.jaccard_components(df, words=5, share=0.8, buckets=4).collect()}
+    assert {i: c for i, c in got.items() if c != i} == near
+    assert sizes[0] < 100
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 500), st.floats(0, 0.3))
+def test_whole_maps_never_drop_alike_sets(seed, size, changed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.concatenate((a[rng.random(len(a)) >= changed * 0.5], rng.integers(0, 2**63, int(changed * size * 0.5)).astype(np.uint64))))
+    c = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    if len(b) and jc.overlap(a, b) >= jc.least_overlap(len(a), len(b)):
+        assert jc.may_be_alike(len(a), jc.whole_map(a), len(b), jc.whole_map(b)) and jc.may_be_alike(len(b), jc.whole_map(b), len(a), jc.whole_map(a))
+    if size > 50:
+        assert not jc.may_be_alike(len(a), jc.whole_map(a), len(c), jc.whole_map(c))
