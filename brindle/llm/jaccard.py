@@ -48,6 +48,10 @@ FEW_ONE, FEW = 16, 2
 ONE, MANY = np.uint64(1), np.uint64(2)
 #: Bytes of text of a tile, about.
 TILE_BYTES = 8 << 20
+#: Most shingles that count as common.
+MOST_COMMON = 1_000_000
+#: Shingles that are counted at once, at 8 bytes each.
+CHUNK = 4 << 20
 
 
 def shingles(h: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -192,26 +196,70 @@ def signatures(s: np.ndarray, common: np.ndarray, share: float = SHARE) -> np.nd
     return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, words: int, sample: int = 20_000) -> np.ndarray:
-    """Shingles that about one document in a thousand has, sorted, from a sample of about `sample` documents.
+def common_shingles(docs: DataFrame, words: int, counted: tuple[int, int] | None = None) -> np.ndarray:
+    """Shingles that one document in a thousand has, or eight, or a MOST_COMMON-th of all shingles, whichever is more; sorted, counted over all documents.
 
-    Only the work depends on them, not the result.  There are at most a thousand times as
-    many as a sampled document has shingles on average.
+    counted: the number of documents with shingles, and of their shingles in all.  Chunks of
+    documents leave out shingles that they hold too seldom to matter: of a common one, at
+    most half of its documents over all chunks.  Those that may be common yet are then
+    counted in every document.
     """
-    every = max(1, docs.count() // sample)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    rows, total = counted or _counted(docs, words)
+    least = max(8, rows // 1000, total // MOST_COMMON)
+    if total == 0:
+        return np.zeros(0, np.uint64)
+
+    def often(sets):
+        h = np.concatenate(sets)
+        h.sort()
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        n = np.diff(np.append(begin, len(h)))
+        keep = n > len(h) * least // (2 * total)
+        return pa.RecordBatch.from_arrays([pa.array(h[begin[keep]].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+
+    def chunks(batches):
+        held, size = [], 0
+        for batch in blocks(batches, "text"):
+            sets = [s for s in batch_shingles(batch.column(1), words) if len(s)]
+            held, size = held + sets, size + sum(map(len, sets))
+            if size >= CHUNK:
+                yield often(held)
+                held, size = [], 0
+        if held:
+            yield often(held)
+
+    few = docs.coalesce(max(1, total // CHUNK))  # smaller chunks leave out less
+    found = few.mapInArrow(chunks, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(2 * F.col("n") >= least).select("h").toArrow()
+    maybe = np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
+    if len(maybe) == 0:
+        return maybe
+    sent = docs.sparkSession.sparkContext.broadcast(maybe)
+
+    def count(batches):
+        known = sent.value
+        n = np.zeros(len(known), np.int64)
+        for batch in blocks(batches, "text"):
+            h = np.concatenate(batch_shingles(batch.column(1), words))
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            n += np.bincount(at[known[at] == h], minlength=len(known))
+        has = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(known[has].view(np.int64)), pa.array(n[has])], names=["h", "n"])
+
+    exact = docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").toArrow()
+    sent.unpersist()
+    return np.sort(exact.column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _counted(docs: DataFrame, words: int) -> tuple[int, int]:
+    """The number of documents with shingles, and of their shingles."""
 
     def run(batches):
         for batch in blocks(batches, "text"):
-            sets = batch_shingles(batch.column(1), words)
-            h = np.sort(np.concatenate(sets))
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(np.diff(np.append(begin, len(h))))], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in batch_shingles(batch.column(1), words)], pa.int64())], names=["n"])
 
-    least = max(8, chosen.count() // 1000)
-    counted = chosen.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-    got = counted.toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)
-    return np.sort(got)
+    got = docs.mapInArrow(run, "n bigint").where("n > 0").agg(F.count("n"), F.sum("n")).first()
+    return got[0], got[1] or 0
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -457,7 +505,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = batch_shingles(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([whole_map(s) for s in sets], pa.binary())], names=["doc_id", "text_hash", "n", "sid", "map"])
 
-    common = spark.sparkContext.broadcast(common_shingles(wanted, words))
+    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, text_hash bigint, n bigint, sid bigint, map binary"))
+    counted = measured.where("n > 0").agg(F.count("n"), F.sum("n")).first()
+    common = spark.sparkContext.broadcast(common_shingles(wanted, words, (counted[0], counted[1] or 0)))
 
     def sign(batches):
         seen: set[int] = set()  # equal sets of this task send their parts once
@@ -486,7 +536,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(x, pa.binary()) for x in sent]], names=["bucket", "sig", "own"])
 
-    measured = cut(wanted.mapInArrow(measure, "doc_id bigint, text_hash bigint, n bigint, sid bigint, map binary"))
     parts = wanted.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sign, "bucket int, sig binary, own binary")
     provisional = cut(parts.repartitionById(buckets, "bucket").mapInArrow(_edges_of, "a bigint, b bigint, firm boolean"))
     loose = provisional.where("NOT firm").select("a", "b").distinct()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -187,3 +188,15 @@ def test_whole_maps_never_drop_alike_sets(seed, size, changed):
         assert jc.may_be_alike(len(a), jc.whole_map(a), len(b), jc.whole_map(b)) and jc.may_be_alike(len(b), jc.whole_map(b), len(a), jc.whole_map(a))
     if size > 50:
         assert not jc.may_be_alike(len(a), jc.whole_map(a), len(c), jc.whole_map(c))
+
+
+def test_common_shingles_are_counted_over_all_documents(spark):
+    """Of 45000 documents, a shingle of 45 is common and one of 44 is not, wherever a sample would have looked."""
+    ids = spark.range(45_000).selectExpr("id", "pmod(xxhash64(id), 2) = 0 AS half").collect()
+    seen, unseen = [r["id"] for r in ids if r["half"]], [r["id"] for r in ids if not r["half"]]
+    texts = {i: f"x{i} y{i}" for i in range(45_000)}
+    texts |= {i: "just enough" for i in unseen[:45]} | {i: "one too few" for i in seen[:44]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    want = np.sort(jc.batch_shingles(pa.array(["just enough"]), 4)[0])
+    assert np.array_equal(jc.common_shingles(df, 4), want)
+    assert len(jc.common_shingles(empty(spark).select("doc_id", "text"), 4)) == 0
