@@ -201,35 +201,41 @@ def common_shingles(docs: DataFrame, words: int, counted: tuple[int, int] | None
 
     counted: the number of documents with shingles, and of their shingles in all.  Chunks of
     documents leave out shingles that they hold too seldom to matter: of a common one, at
-    most half of its documents over all chunks.  Those that may be common yet are then
-    counted in every document.
+    most half of its documents over all chunks, by their lengths, and a quarter over the last
+    chunks of all tasks, in equal parts.  Those that may be common yet are then counted in
+    every document.
     """
     rows, total = counted or _counted(docs, words)
     least = max(8, rows // 1000, total // MOST_COMMON)
     if total == 0:
         return np.zeros(0, np.uint64)
 
-    def often(sets):
+    tasks = max(1, total // CHUNK)  # or fewer; smaller chunks leave out less
+    few = docs.coalesce(tasks)
+
+    def often(sets, more=0):
         h = np.concatenate(sets)
         h.sort()
-        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        n = np.diff(np.append(begin, len(h)))
-        keep = n > len(h) * least // (2 * total)
-        return pa.RecordBatch.from_arrays([pa.array(h[begin[keep]].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+        most = len(h) * least // (2 * total) + more
+        many = h[most:]
+        many = np.unique(many[many == h[: len(many)]])
+        n = np.searchsorted(h, many, side="right") - np.searchsorted(h, many)
+        return pa.RecordBatch.from_arrays([pa.array(many.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     def chunks(batches):
-        held, size = [], 0
+        # a full chunk waits for the next: what is left at a task's end, alone, would be too little to leave anything out
+        full, held, size = [], [], 0
         for batch in blocks(batches, "text"):
             sets = [s for s in batch_shingles(batch.column(1), words) if len(s)]
             held, size = held + sets, size + sum(map(len, sets))
             if size >= CHUNK:
-                yield often(held)
-                held, size = [], 0
-        if held:
-            yield often(held)
+                if full:
+                    yield often(full)
+                full, held, size = held, [], 0
+        if full or held:
+            yield often(full + held, least // (4 * tasks))
 
-    few = docs.coalesce(max(1, total // CHUNK))  # smaller chunks leave out less
-    found = few.mapInArrow(chunks, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(2 * F.col("n") >= least).select("h").toArrow()
+    found = few.mapInArrow(chunks, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(4 * F.col("n") >= least).select("h").toArrow()
     maybe = np.sort(found.column("h").to_numpy().astype(np.int64).view(np.uint64))
     if len(maybe) == 0:
         return maybe

@@ -200,3 +200,31 @@ def test_common_shingles_are_counted_over_all_documents(spark):
     want = np.sort(jc.batch_shingles(pa.array(["just enough"]), 4)[0])
     assert np.array_equal(jc.common_shingles(df, 4), want)
     assert len(jc.common_shingles(empty(spark).select("doc_id", "text"), 4)) == 0
+
+
+def test_ends_of_tasks_send_few_shingles(spark, monkeypatch):
+    """What is left after the full chunks of a task isn't sent whole: of shingles that are in one document each, few go on."""
+    docs, per_doc, in_common = 4000, 50, 100
+    monkeypatch.setattr(jc, "CHUNK", 10_000)
+    monkeypatch.setattr(jc, "MOST_COMMON", 2_000)  # common is what 100 documents have
+    texts = [" ".join(f"w{i}x{k}" for k in range(per_doc + 3)) for i in range(docs)]
+    for i in range(0, docs, docs // in_common):
+        texts[i] = texts[i].rsplit(" ", 4)[0] + " a b c d"
+    made, frame = [], type(spark.range(1))
+
+    def spied(self, func, schema, *rest, whole=frame.mapInArrow, **named):
+        out = whole(self, func, schema, *rest, **named)
+        if schema == "h bigint, n bigint":
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(19)  # each a little more than a chunk
+        want = np.sort(jc.batch_shingles(pa.array(["a b c d"]), 4)[0])
+        assert np.array_equal(jc.common_shingles(df, 4), want)
+        assert made[0].count() <= 19 * 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
