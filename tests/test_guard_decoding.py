@@ -17,7 +17,7 @@ AWAY = FILL * 12
 TEXTS = (f"pay {CARDS[0]} then. {LONG}", f"{LONG}pay {CARDS[0]} then {AWAY} or {CARDS[1]}", f"pay {CARDS[0]} or {CARDS[1]} or {CARDS[2]} now", "wo einstacheinstach und " * 60)
 
 
-@pytest.mark.parametrize("name", ["guard_decisions", "guard_enforcement", "guard_hits"])
+@pytest.mark.parametrize("name", ["guard_decisions", "guard_enforcement", "guard_hits", "output_guard"])
 def test_numbers_that_decode(spark, tmp_path, name):
     """Each text behind all that the queries put before it."""
     rows = [(132 * k + i, t, "s") for k, t in enumerate(TEXTS) for i in range(132)]
